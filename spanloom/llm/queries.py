@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, neardup, quality
+from . import decontam, lines, neardup, packing, quality, sharding, tiff, toxicity
 from .shared import table
 
 
@@ -12,6 +12,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
@@ -21,17 +25,36 @@ def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so each embedding is rendered as a TIFF of four pages first."""
+    return tiff.pages(tiff.rendered(table(spark, sf_dir, "embeddings")), pixels=False)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_quality_resample": op4_quality_resample,
+    "op7_shuffled_shards": op7_shuffled_shards,
+    "op8_toxicity": op8_toxicity,
+    "op9_tiff_pages": op9_tiff_pages,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE = {
     "op1_line_dedup": lines.SQL,
+    "op2_packing": packing.SQL,
+    "op9_tiff_pages": tiff.SQL,
 }
