@@ -1,21 +1,53 @@
-"""A training corpus from raw documents: quality, repeated lines, near copies, benchmark passages, packing."""
+"""A training corpus from raw documents: quality, repeated lines, near copies, benchmark passages, packing.
+
+Every stage works on all documents that the one before it kept, and all but the last return the columns of ``documents``.
+Odd input (nulls in any column, empty or very long texts, repeated rows, empty tables, extra columns) has the results that
+the operators' modules define; extra columns pass through to the packing stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import quality
+from spanloom.llm import decontam, lines, neardup, packing, quality
 from spanloom.llm.shared import materialise, table
 
-#: The quality sample, duplicate counts and packing can't be said in SQL; tests hold each stage against brute force.
+#: Hashed n-gram models, MinHash components and proximity can't be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resample rejects go."""
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality classifier", good_quality)]
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a line that occurs more than once all but the first go; so do documents of which only copied lines were left."""
+    return lines.filter_lines(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a phrase of a benchmark item, or its rare terms close together, go."""
+    return decontam.filter_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The windows' segments."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, lines, neardup, packing, quality, sharding, tiff, toxicity
-from .shared import table
+from . import decontam, langid, lines, neardup, packing, quality, sharding, tiff, tokencounts, toxicity
+from .shared import materialise, scratch_path, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,27 @@ def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+#: Decoration that the revised texts of op6 are free of.
+MARKS = r"[*#$%&]{3}|!!|\|"
+
+
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come, those labelled toxic go, texts with decoration are counted anew without it."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    counts = materialise(tokencounts.token_counts(docs), "token-counts")
+    store = tokencounts.RollupStore(spark, scratch_path(spark, "rollups"))
+    store.commit("load", tokencounts.inserts(counts))
+    store.commit("retract", tokencounts.deletes(counts.join(toxic, "doc_id", "left_semi")))
+    revised = tokencounts.revised_counts(docs.filter(F.col("text").rlike(MARKS)), F.regexp_replace("text", MARKS, ""))
+    store.commit("revise", tokencounts.revisions(revised.join(toxic, "doc_id", "left_anti")))
+    return store.totals()
+
+
 def op7_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle(table(spark, sf_dir, "documents"))
 
@@ -47,6 +69,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_quality_resample": op4_quality_resample,
+    "op5_language": op5_language,
+    "op6_token_rollups": op6_token_rollups,
     "op7_shuffled_shards": op7_shuffled_shards,
     "op8_toxicity": op8_toxicity,
     "op9_tiff_pages": op9_tiff_pages,
