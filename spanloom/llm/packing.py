@@ -131,6 +131,7 @@ def _cutter(plan, names):
 def pack(docs: DataFrame, window: int = WINDOW, weights: dict | None = None) -> DataFrame:
     """The windows' segments: window_id, pos (first token in the window), doc_id, source, start_token and end_token in the document, n_tokens."""
     units = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("n")).filter("n > 0")
+    units = materialise(units, "lengths")  # the range partitioner samples its input, which then is not the texts
     ranged = units.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id", "n")
     placed = materialise(ranged.select("*", F.spark_partition_id().alias("part")).mapInArrow(_running, "doc_id long, source string, n long, part int, off long"), "queues")
     parts = placed.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
