@@ -1,4 +1,386 @@
 """Every query of the trace engine over the driver's tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import ids
+from spanloom.operators import evals, fold, graph, search, views
+from spanloom.operators.fold import TraceQuery
+from spanloom.plans.oracle import ORACLE, QUERIES_, VALUES, WINDOW
+from spanloom.sources import fixtures as fx
+from spanloom.sources import otlp, wire
+from spanloom.sources.store import TraceStore, scratch
+from spanloom.streaming import ingest
+
+__all__ = ["ORACLE", "QUERIES"]
+
+ORDER = ["src_row"]
 QUERIES: dict = {}
-ORACLE: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _spans(spark: SparkSession, d: str, **kw) -> DataFrame:
+    return fold.spans(fx.span_events(spark, d), ORDER, **kw)
+
+
+def _flat(spans: DataFrame) -> DataFrame:
+    return spans.select("trace_id", "span_id", *VALUES, F.array_join("logs", "|").alias("logs"), "event_count")
+
+
+@query
+def fold_spans(spark, d):
+    return _flat(_spans(spark, d))
+
+
+@query
+def fold_dedup_retransmit(spark, d):
+    ev = fx.span_events(spark, d)
+    kept = fold.dedup(ev, ORDER, "global").agg(F.count("*").alias("kept"), F.countDistinct("trace_id", "span_id").alias("spans"))
+    return ev.agg(F.count("*").alias("sent")).crossJoin(kept)
+
+
+@query
+def fold_logs_union(spark, d):
+    return _flat(_spans(spark, d)).select("trace_id", "span_id", "logs", "event_count")
+
+
+@query
+def fold_with_patches(spark, d):
+    return _spans(spark, d, patches=fx.patches(spark, d)).select("trace_id", "span_id", "status", "duration_ns", "eval_score", "eval_label")
+
+
+@query
+def fold_with_tombstones(spark, d):
+    return _flat(_spans(spark, d, tombstones=fx.tombstones(spark, d), tombstone_keys=["src_row"]))
+
+
+@query
+def fold_time_window(spark, d):
+    return _flat(_spans(spark, d, query=TraceQuery(time_from=WINDOW[0], time_to=WINDOW[1])))
+
+
+@query
+def fold_time_window_spans(spark, d):
+    return _flat(_spans(spark, d, query=TraceQuery(time_from=WINDOW[0], time_to=WINDOW[1]), window_mode="spans"))
+
+
+@query
+def fold_tenant(spark, d):
+    return _flat(_spans(spark, d, query=TraceQuery(tenant_id=1)))
+
+
+@query
+def fold_candidates(spark, d):
+    keys = spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'purchase'").selectExpr("event_id div 30 as trace_id", "(event_id % 30) div 3 as span_id")
+    return _flat(_spans(spark, d, keys=keys))
+
+
+@query
+def merge_spans(spark, d):
+    right = fold.fold(fx.span_events(spark, d).filter("event_type = 4"), ORDER).select("trace_id", "span_id", "status", "input_tokens")
+    return fold.merge_spans(_spans(spark, d).select("trace_id", "span_id", "status", "input_tokens"), right)
+
+
+@query
+def list_traces(spark, d):
+    return views.list_traces(_spans(spark, d))
+
+
+@query
+def list_traces_tenant(spark, d):
+    return views.list_traces(_spans(spark, d, query=TraceQuery(tenant_id=1)))
+
+
+@query
+def list_sessions(spark, d):
+    return views.list_sessions(_spans(spark, d))
+
+
+@query
+def console_sessions(spark, d):
+    return views.console_sessions(_spans(spark, d))
+
+
+@query
+def sessions_page(spark, d):
+    return views.sessions_page(_spans(spark, d), "agent", cursor=10, limit=20)
+
+
+@query
+def session_timeline(spark, d):
+    return views.session_timeline(fx.turns(spark, d)).drop("agents", "eval_score")
+
+
+@query
+def session_totals(spark, d):
+    return views.session_totals(views.session_timeline(fx.turns(spark, d)))
+
+
+@query
+def session_turns(spark, d):
+    return views.session_turns(fx.turns(spark, d))
+
+
+@query
+def session_agents(spark, d):
+    return views.session_timeline(_spans(spark, d)).select("session_id", "trace_id", F.array_join("agents", "|").alias("agents"))
+
+
+@query
+def cost_by_agent(spark, d):
+    return views.cost_by_agent(_spans(spark, d))
+
+
+@query
+def trace_waterfall(spark, d):
+    return views.waterfall(_spans(spark, d))
+
+
+@query
+def trace_summary(spark, d):
+    return views.trace_summary(_spans(spark, d))
+
+
+@query
+def steps(spark, d):
+    return views.steps(_spans(spark, d))
+
+
+@query
+def span_detail(spark, d):
+    return views.span_detail(_spans(spark, d, query=TraceQuery(trace_id=3)), 3, 4)
+
+
+@query
+def trace_depth(spark, d):
+    return graph.trace_depth(_spans(spark, d))
+
+
+@query
+def trace_tree(spark, d):
+    return graph.trace_tree(_spans(spark, d)).withColumn("children", F.concat_ws(",", F.transform("children", lambda x: x.cast("string"))))
+
+
+@query
+def trace_dfs(spark, d):
+    return graph.trace_dfs(_spans(spark, d))
+
+
+@query
+def agent_graph_nodes(spark, d):
+    return graph.agent_graph_nodes(_spans(spark, d))
+
+
+@query
+def agent_graph_edges(spark, d):
+    return graph.agent_graph_edges(_spans(spark, d))
+
+
+@query
+def event_ids(spark, d):
+    ev = fold.dedup(fx.span_events(spark, d), ORDER)
+    return ev.select("ext_span_id", "seq", "event_type", ids.event_id(F.col("ext_span_id"), F.col("seq"), F.col("event_type")).alias("event_id"))
+
+
+@query
+def filter_attrs(spark, d):
+    return views.filter_attrs(_spans(spark, d), fx.span_events(spark, d))
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(fx.documents(spark, d))
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUERIES_, "query_id int, query string")
+
+
+@query
+def bm25_terms(spark, d):
+    return _index(spark, d).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query
+def bm25_search(spark, d):
+    return search.bm25(_index(spark, d), _asked(spark))
+
+
+@query
+def bm25_search_filtered(spark, d):
+    found = search.bm25(_index(spark, d), _asked(spark), None).drop("rank")
+    return search.top(search.restrict(found, fx.documents(spark, d), search.SearchFilter(tenant_id=1, status=0)), 10, F.desc("score"))
+
+
+@query
+def bm25_search_overfetch(spark, d):
+    found = search.bm25(_index(spark, d), _asked(spark), 50).drop("rank")
+    return search.top(search.restrict(found, fx.documents(spark, d), search.SearchFilter(tenant_id=1)), 10, F.desc("score"))
+
+
+@query
+def contains_search(spark, d):
+    return search.contains_search(fx.documents(spark, d), "License Apache")
+
+
+def _vector(spark: SparkSession, d: str) -> list[float]:
+    return list(fx.embeddings(spark, d).filter("vec_id = 7").first()["embedding"])
+
+
+@query
+def vector_l2(spark, d):
+    return search.vector_scan(fx.embeddings(spark, d), _vector(spark, d))
+
+
+@query
+def vector_cosine(spark, d):
+    return search.vector_scan(fx.embeddings(spark, d), _vector(spark, d), metric="cosine")
+
+
+@query
+def vector_ip(spark, d):
+    return search.vector_scan(fx.embeddings(spark, d), _vector(spark, d), metric="ip")
+
+
+@query
+def vector_batch(spark, d):
+    e = fx.embeddings(spark, d)
+    return search.vector_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
+
+
+@query
+def vector_filtered(spark, d):
+    return search.vector_scan(fx.embeddings(spark, d).filter("label = 3"), _vector(spark, d))
+
+
+@query
+def vector_postfilter(spark, d):
+    e = fx.embeddings(spark, d)
+    best = search.vector_scan(e, _vector(spark, d), 32).drop("rank").join(e.select("trace_id", "span_id", "label"), ["trace_id", "span_id"])
+    return search.top(best.filter("label = 3").drop("label"), 10, F.asc("distance"))
+
+
+@query
+def rrf_fuse(spark, d):
+    words = search.bm25(_index(spark, d), _asked(spark).filter("query_id = 1")).withColumn("query_id", F.lit(0))
+    return search.rrf([words, search.vector_scan(fx.embeddings(spark, d), _vector(spark, d))])
+
+
+@query
+def hybrid_search(spark, d):
+    return search.hybrid(_index(spark, d), fx.embeddings(spark, d), QUERIES_[0][1], _vector(spark, d))
+
+
+@query
+def hybrid_search_filtered(spark, d):
+    return search.hybrid(_index(spark, d), fx.embeddings(spark, d), QUERIES_[0][1], _vector(spark, d), attrs=fx.documents(spark, d), wanted=search.SearchFilter(tenant_id=2))
+
+
+@query
+def search_joined(spark, d):
+    found = search.join_spans(search.bm25(_index(spark, d), _asked(spark)), fx.documents(spark, d))
+    return found.select("query_id", "rank", "score", "agent_name", "status", "trace_id", "span_id")
+
+
+BAD = ["error", "signup"]
+
+
+@query
+def eval_keyword(spark, d):
+    return evals.score_spans(_spans(spark, d), evals.keyword_scorer(BAD))
+
+
+@query
+def eval_summary(spark, d):
+    return evals.eval_summary(fx.scored(spark, d))
+
+
+@query
+def eval_summary_keyword(spark, d):
+    return evals.eval_summary(evals.score_spans(_spans(spark, d), evals.keyword_scorer(BAD)))
+
+
+@query
+def eval_dataset_stricter(spark, d):
+    examples = evals.collect_examples("fine", _spans(spark, d), "status = 0")
+    return evals.eval_dataset(examples, "fine", evals.keyword_scorer(["error", "click"]))
+
+
+@query
+def eval_writeback(spark, d):
+    spans = _spans(spark, d)
+    homes = spans.select("trace_id", "span_id", F.lit(0).cast("bigint").alias("segment_id"))
+    patches = evals.writeback(spans, evals.keyword_scorer(BAD), homes, 1)
+    out = fold.apply_patches(spans, patches).filter("eval_score is not null")
+    return out.select("trace_id", "span_id", "eval_score", "eval_label", F.coalesce("status", F.lit(0)).alias("status"))
+
+
+@query
+def dataset_collect(spark, d):
+    spans = _spans(spark, d)
+    failed = evals.collect_examples("failed", spans, "status = 1")
+    again = evals.collect_examples("failed", spans, "status = 1", existing=failed)
+    return evals.list_datasets(failed.union(again).union(evals.collect_examples("long", spans, F.col("duration_ns") > 50_000_000)))
+
+
+@query
+def session_eval(spark, d):
+    return evals.score_sessions(views.session_timeline(fx.turns(spark, d)), ["avec"])
+
+
+def _stored(spark: SparkSession, d: str, parts: int = 3) -> TraceStore:
+    """A store with the events in ``parts`` segments."""
+    store = TraceStore(spark, scratch(spark, "store"))
+    ev = fx.span_events(spark, d)
+    for n in range(parts):
+        store.append(ev.filter(F.pmod("trace_id", F.lit(parts)) == n), order=ORDER)
+    return store
+
+
+@query
+def stored_traces(spark, d):
+    return views.list_traces(_stored(spark, d).spans())
+
+
+@query
+def compaction_equivalence(spark, d):
+    store = _stored(spark, d)
+    places = store.events().filter("trace_id * 30 + span_id * 3 + case event_type when 1 then 0 when 4 then 1 else 2 end >= 0")
+    source = (F.col("trace_id") * 30 + F.col("span_id") * 3 + F.col("seq") - 1) % 13 == 0
+    store.delete(places.filter(source).select("segment_id", "row_idx"))
+    store.compact()
+    return views.list_traces(store.spans())
+
+
+@query
+def streamed_traces(spark, d):
+    """The events as wire JSON files, through a stream into a store."""
+    folder = scratch(spark, "stream")
+    wire.to_wire(fx.span_events(spark, d).drop("src_row")).write.text(f"{folder}/in")
+    store = TraceStore(spark, f"{folder}/store")
+    ingest.run(ingest.wire_stream(spark, f"{folder}/in"), store, f"{folder}/checkpoint")
+    return views.list_traces(store.spans())
+
+
+@query
+def wire_roundtrip(spark, d):
+    ev = wire.parse_wire(wire.to_wire(fx.span_events(spark, d).drop("src_row")))
+    return ev.select("trace_id", "span_id", "seq", "event_type", "ext_span_id", "status", "duration_ns", "input_tokens", "model", "input_text", F.array_join("logs", "|").alias("logs"))
+
+
+@query
+def otlp_parse(spark, d):
+    """Spans of the events table as OTLP bodies, parsed and folded."""
+    ev = fx.span_events(spark, d).filter("event_type = 1").dropDuplicates(["ext_span_id"])
+    attr = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))
+    span = F.struct(F.lpad(F.hex("trace_id"), 32, "0").alias("traceId"), F.lpad(F.hex(F.col("trace_id") * 10 + F.col("span_id")), 16, "0").alias("spanId"), F.coalesce("input_text", F.lit("")).alias("name"), F.col("ts").cast("string").alias("startTimeUnixNano"), (F.col("ts") + 5000).cast("string").alias("endTimeUnixNano"), F.struct(F.lit(2).alias("code")).alias("status"), F.array(attr("llm.model_name", F.col("model")), attr("session.id", F.col("session_id"))).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    return _flat(fold.spans(otlp.parse_otlp(ev.select(body.alias("body"))), ["ts"]))
+
+
+ORACLE["otlp_parse"] = ORACLE["fold_spans"].split("\nSELECT")[0] + "\nSELECT trace_id, trace_id * 10 + span_id AS span_id, 1 AS status, 5000::BIGINT AS duration_ns, NULL::BIGINT AS parent_span_id, NULL::BIGINT AS input_tokens, NULL::BIGINT AS output_tokens, session_id, NULL::BIGINT AS tenant_id, NULL::VARCHAR AS agent_name, NULL::VARCHAR AS tool_name, model, NULL::VARCHAR AS input_text, NULL::VARCHAR AS output_text, input_text AS logs, 2 AS event_count FROM once WHERE event_type = 1"
