@@ -284,6 +284,17 @@ def test_walk_against_dense_matrices(spark):
     assert np.allclose(toxicity.walk(graph, seeds), p, atol=1e-5)
 
 
+def test_rare_words_are_in_the_graph(spark):
+    """Five of 1,250 documents have a word; its company, not a label, tells that it is toxic."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 600, 30)) for _ in range(1250)]
+    for i in range(65):
+        texts[i] += f" filth a{i} filth" + " gutter filth" * 2 * (i >= 60)
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in [*range(60), *range(65, 400)]], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.induce(make(spark, texts), toxicity.labelled(labels))
+    assert [r.hits for r in toxicity.score(make(spark, ["gutter", "filth", "w7", "a7"]), lexicon).orderBy("doc_id").collect()] == [1, 1, 0, 0]
+
+
 def test_toxicity_held_out(spark):
     """A quarter of the labels is held out. Rare words need labelled uses, so recall grows with the labels."""
     d = "/root/testdata/sf0.1"
