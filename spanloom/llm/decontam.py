@@ -10,7 +10,10 @@ phrase by taking the postings of its rarest term in the corpus, shifting them to
 intersecting with the shifted postings of the next rarest, until none is left or all words agree: an exact phrase match.
 For proximity, an item's rarest distinct terms are taken, ``NEAR_TERMS`` at least and as many more as it takes for fewer
 than ``CHANCE`` chance meetings to be expected in the whole corpus; a document matches if all of them occur within
-``SPAN`` words of an occurrence of the rarest. Items whose terms are too common for that have no proximity match.
+``SPAN`` words of an occurrence of the rarest. Items whose terms are too common for that have no such match. Besides, by a
+rule that doesn't depend on the size of the corpus, a document matches (kind ``most``) if ``MOST`` of an item's
+``MOST_TERMS`` rarest terms (of all, if it has fewer) occur within ``SPAN`` words of an occurrence of one of them, so copies
+with some words replaced are found too. Terms that aren't in the corpus are left out of both.
 
 Results for odd input: documents or items with null or empty text, or without words, match nothing; null ids are ids like
 any other; repeated rows match alike and give one row; an empty table gives an empty result; extra columns are ignored by
@@ -30,6 +33,7 @@ from .tokens import U, word_hashes
 
 PHRASE = 8
 NEAR_TERMS = 4
+MOST_TERMS, MOST = 8, 0.75
 SPAN = 60
 CHANCE = 1e-3
 BLOCK = 16 << 20
@@ -130,6 +134,20 @@ class Block:
                 break
         return found
 
+    def most(self, terms: list[int], need: int, span: int) -> np.ndarray:
+        """Occurrences of the rarest terms that have ``need`` of the terms within ``span``, their own among them."""
+        if sum(t in self.at for t in terms) < need:
+            return np.zeros(0, np.int64)
+        # Of any ``need`` terms one is among the first.
+        found = np.unique(np.concatenate([self.postings(t) for t in terms[: len(terms) - need + 1]]))
+        n = np.zeros(len(found), np.int64)
+        for t in terms:
+            p = self.postings(t)
+            if len(p):
+                i = np.searchsorted(p, found - span)
+                n += (i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= found + span)
+        return found[n >= need]
+
     def docs(self, pos: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, pos, "right") - 1
 
@@ -142,7 +160,7 @@ def _in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 def near_terms(terms: list[int], freq: np.ndarray, n_words: int, least: int = NEAR_TERMS, span: int = SPAN) -> list[int]:
     """The rarest distinct terms of an item, as many as make chance meetings rarer than CHANCE; none if all don't."""
-    distinct = sorted(set(terms), key=lambda t: (freq[t], t))
+    distinct = sorted((t for t in set(terms) if freq[t]), key=lambda t: (freq[t], t))
     expected = 1.0
     for n, t in enumerate(distinct, 1):
         expected *= max(1, freq[t]) * ((2 * span + 1) / max(1, n_words) if n > 1 else 1)
@@ -151,6 +169,14 @@ def near_terms(terms: list[int], freq: np.ndarray, n_words: int, least: int = NE
     return []
 
 
+def most_terms(terms: list[int], freq: np.ndarray) -> tuple[list[int], int]:
+    """The rarest distinct terms of an item that the corpus has, and how many have to meet; none if too few are there."""
+    n = min(MOST_TERMS, len(set(terms)))
+    need = int(np.ceil(MOST * n))
+    found = sorted((t for t in set(terms) if freq[t]), key=lambda t: (freq[t], t))[:n]
+    return (found, need) if len(found) >= need >= NEAR_TERMS else ([], 0)
+
+
 FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("hits", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
@@ -160,7 +186,7 @@ def _asker(items, freq, n_words: int, n: int):
         plans = []
         for item, terms in items.value:
             runs = [terms[k : k + n] for k in range(max(1, len(terms) - n + 1))]
-            plans.append((item, [(t, np.lexsort((np.arange(len(t)), rare[t]))) for t in runs], near_terms([int(t) for t in terms], rare, n_words)))
+            plans.append((item, [(t, np.lexsort((np.arange(len(t)), rare[t]))) for t in runs], near_terms([int(t) for t in terms], rare, n_words), *most_terms([int(t) for t in terms], rare)))
         for b in batches:
             for row in b.to_pylist():
                 block, out = Block(row), {}
@@ -171,13 +197,16 @@ def _asker(items, freq, n_words: int, n: int):
                         hits, lo, hi = out.get((int(d), item, kind), (0, p, p))
                         out[int(d), item, kind] = (hits + 1, min(lo, p), max(hi, p + length - 1))
 
-                for item, runs, near in plans:
+                for item, runs, near, some, need in plans:
                     for terms, order in runs:
                         pos = block.phrase(terms, order)
                         put(item, "phrase", pos, [len(terms)] * len(pos))
                     if near:
                         pos = block.near(near, SPAN)
                         put(item, "near", pos, [1] * len(pos))
+                    if some:
+                        pos = block.most(some, need, SPAN)
+                        put(item, "most", pos, [1] * len(pos))
                 rows = [(int(block.ids[d]) if block.known[d] else None, int(block.texts[d]), item, kind, *v) for (d, item, kind), v in out.items()]
                 yield pa.RecordBatch.from_pylist([dict(zip(FOUND.names, r)) for r in rows], schema=FOUND)
 
@@ -185,7 +214,7 @@ def _asker(items, freq, n_words: int, n: int):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, text_hash, item_id, kind (phrase or near), hits, first_word, last_word; one row for each document, item and kind."""
+    """doc_id, text_hash, item_id, kind (phrase, near or most), hits, first_word, last_word; one row for each document, item and kind."""
     spark = docs.sparkSession
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

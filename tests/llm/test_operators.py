@@ -143,6 +143,16 @@ def test_phrases_and_proximity_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): (r.hits, r.first_word, r.last_word) for r in found if r.kind == "near"} == near
 
 
+def test_copies_with_some_words_replaced(spark):
+    """No phrase is left, one of the rarest terms is gone, another is nowhere in the corpus."""
+    bench = random_texts(8, 40, seed=21, vocabulary=5000)
+    copies = [" ".join(f"new{i}x{k}" if k % 8 == 7 else w for k, w in enumerate(t.split())) for i, t in enumerate(bench)]
+    items = spark.createDataFrame([(i, t + " nowhere") for i, t in enumerate(bench)], "item_id long, text string")
+    docs = make(spark, copies + random_texts(200, 200, seed=22, vocabulary=5000))
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()} == {(i, i) for i in range(8)}
+    assert {r.doc_id for r in decontam.filter_contaminated(docs, items).collect()} == set(range(8, 208))
+
+
 # 4
 
 
