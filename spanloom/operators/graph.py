@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import render, unsigned_order
+from spanloom.sources.store import scratch
 
 #: Hops after which a parent chain counts as a cycle.
 MAX_DEPTH = 65
+#: Hops after which preorder writes its paths.
+CUTS = {8**k for k in range(1, 21)}
 
 
 def trace_tree(spans: DataFrame) -> DataFrame:
@@ -35,20 +38,28 @@ def trace_depth(spans: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     return n.select("trace_id", "span_id", F.least("depth", F.lit(most)).alias("depth"))
 
 
-def trace_dfs(spans: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+def trace_dfs(spans: DataFrame) -> DataFrame:
     """Preorder of each trace's forest, children by id: trace_id, span_id, visit (from 0).
 
-    The path of ids from the root sorts a tree in preorder. Paths double like depths. Spans on or below a cycle are not
-    reached from a root and are left out.
+    The path of ids from the root sorts a tree in preorder. Paths double like depths, until all have
+    ended or the hops exceed the spans of the largest trace: what then still has an ancestor is on or below a cycle. Such
+    spans are not reached from a root and are left out.
     """
     known = spans.select("trace_id", F.col("span_id").alias("up"), F.lit(1).alias("_k"))
     n = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up")).join(known, ["trace_id", "up"], "left")
     n = n.select("trace_id", "span_id", F.when(F.col("_k").isNotNull(), F.col("up")).alias("up"), F.array(unsigned_order(F.col("span_id"))).alias("path"))
+    largest = spans.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     hops = 1
-    while hops < most:
+    while hops <= largest:
         other = n.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
         n = n.join(other, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<bigint>")), "path").alias("path"))
         hops *= 2
+        if hops in CUTS and hops <= largest:  # a plan that joins itself doubles each round
+            folder = scratch(spans.sparkSession, "preorder")
+            n.write.parquet(folder)
+            n = spans.sparkSession.read.schema(n.schema).parquet(folder)
+            if n.filter("up is not null").isEmpty():
+                break
     order = W.partitionBy("trace_id").orderBy("path")
     return n.filter("up is null").select("trace_id", "span_id", (F.row_number().over(order) - 1).alias("visit"))
 

@@ -59,6 +59,12 @@ def test_depth_and_preorder_of_odd_trees(spark):
     assert {r.span_id: r.visit for r in graph.trace_dfs(spans).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
 
 
+def test_preorder_of_a_chain_of_300(spark):
+    rows = [(1, i, i - 1 if i > 1 else None) for i in range(1, 301)] + [(1, 400, 401), (1, 401, 400), (2, 1, None)]
+    got = graph.trace_dfs(spark.createDataFrame(rows, "trace_id long, span_id long, parent_span_id long")).collect()
+    assert {(r.trace_id, r.span_id): r.visit for r in got} == {(1, i): i - 1 for i in range(1, 301)} | {(2, 1): 0}
+
+
 def test_store_versions_idempotence_and_compaction(spark, tmp_path):
     store = TraceStore(spark, f"file://{tmp_path}/store")
     rows = [(t, 1, t, 1, 1, f"{t}-1", 0, None, None, t) for t in range(6)]
