@@ -5,7 +5,8 @@ predictors none (1), horizontal (2) and floating point (3); 1, 2, 4, 8, 16, 32 a
 interleaved or planar; strips and tiles. A file is decoded whole, whatever its size.
 
 Results for odd input: null bytes give no row; bytes that are no TIFF, are cut short or use something else give one row
-with a null page and the reason in ``error`` (pages before a broken one come out); a directory chain that loops ends where
+with a null page and the reason in ``error``; a page that can't be decoded has its number and the reason, and the pages
+after it come out, unless its directory itself is broken; a directory chain that loops ends where
 it does; an image without pixels has null statistics; repeated rows give repeated pages; an empty table gives no rows;
 extra columns are ignored.
 """
@@ -177,7 +178,7 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
 
 
 def read_tiff(data: bytes) -> tuple[list[dict], str | None]:
-    """The pages that can be read, in order, and what was wrong with the next, if anything."""
+    """The pages in order, those that can't be decoded with an error only, and what ended the walk, if it didn't end well."""
     pages: list[dict] = []
     try:
         order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
@@ -192,7 +193,10 @@ def read_tiff(data: bytes) -> tuple[list[dict], str | None]:
         while at and at not in seen:
             seen.add(at)
             tags, at = _directory(data, at, order, big)
-            pages.append(_page(data, tags, order))
+            try:
+                pages.append(_page(data, tags, order))
+            except (TiffError, struct.error) as e:
+                pages.append({"error": str(e)})
     except (TiffError, struct.error) as e:
         return pages, str(e)
     return pages, None
@@ -311,6 +315,9 @@ def _reader(pixels: bool):
                     continue
                 found, error = read_tiff(data)
                 for n, p in enumerate(found):
+                    if "error" in p:
+                        rows.append({"id": key, "page": n, **p})
+                        continue
                     x = p.pop("pixels")
                     f = x.astype(float)
                     stats = {"pixel_sum": round(float(f.sum()), 6), "pixel_min": float(f.min()), "pixel_max": float(f.max())} if x.size else {}

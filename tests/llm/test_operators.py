@@ -339,6 +339,15 @@ def test_broken_files_give_a_reason(spark):
     assert zlib.crc32(next(r.pixels for r in got if r.id == 1 and r.page == 1)) == zlib.crc32(next(r.pixels for r in got if r.id is None and r.page == 1))
 
 
+def test_pages_after_a_broken_one_come_out(monkeypatch):
+    monkeypatch.setitem(tiff.ENCODE, "jpeg", (7, bytes))
+    x = np.arange(3 * 5 * 6 * 2, dtype=np.uint8).reshape(3, 5, 6, 2)
+    data = tiff.write_tiff([{"pixels": x[0], "compression": "lzw", "rows": 2}, {"pixels": x[1], "compression": "jpeg", "rows": 2}, {"pixels": x[2], "compression": "none", "planar": 2, "rows": 2}])
+    found, error = tiff.read_tiff(data)
+    assert error is None and found[1] == {"error": "compression 7"}
+    assert np.array_equal(found[0]["pixels"], x[0]) and np.array_equal(found[2]["pixels"], x[2])
+
+
 # 10
 
 
