@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(self._conf)
@@ -22,16 +23,26 @@ class Files:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def create(self, path: str, text: str) -> bool:
-        """Makes a file that wasn't there; False if it is."""
+    def publish(self, path: str, text: str) -> bool:
+        """Makes a file that wasn't there, whole or not at all; False if it is there.
+
+        It is written beside its place and renamed, which HDFS does at once and for one writer only. A writer that dies
+        leaves a file whose name begins with a dot; readers pass those by.
+        """
+        folder, _, name = path.rpartition("/")
+        draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(draft), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf)
+        none = self._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(self._path(path), False)
+            context.rename(self._path(draft), self._path(path), none)
         except Exception:
+            self.delete(draft)
             if self.exists(path):
                 return False
             raise
-        out.write(bytearray(text.encode()))
-        out.close()
         return True
 
     def read(self, path: str) -> str:
@@ -44,7 +55,7 @@ class Files:
     def names(self, path: str) -> list[str]:
         if not self.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
+        return sorted(n for s in self._fs.listStatus(self._path(path)) if not (n := s.getPath().getName()).startswith("."))
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
@@ -63,3 +74,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
+    folder = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that ``scratch`` folders of this checkpoint folder hold. For the end of a job: results still to be read need them."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        Files(spark, base).delete("spanloom")

@@ -1,7 +1,9 @@
 """A versioned event store: immutable Parquet segments, tombstones, late patches, and one manifest file per version.
 
-A change writes its rows first and then creates the next manifest, which only one writer can. Readers name a version (or
-take the last) and see the same rows however the store goes on.
+A change writes its rows first and then publishes the next manifest, which appears whole and only once. Readers name a
+version (or take the last) and see the same rows however the store goes on. A manifest that can't be read, such as the torn
+one of a writer that died, is no version; a store whose every manifest is torn is empty. Patches, tombstones and vectors
+are numbered by the commit that publishes them, so no two share a number.
 """
 
 from __future__ import annotations
@@ -22,11 +24,16 @@ from spanloom.sources.schema import EMBEDDINGS, EVENTS, PATCHES, STORED, TOMBSTO
 
 __all__ = ["FORMAT", "FormatError", "TraceStore", "scratch"]
 
-FORMAT = 1
+FORMAT = 2
 ORDER = ["segment_id", "row_idx"]
 EMPTY = {"version": 0, "format": FORMAT, "segments": [], "patches": [], "tombstones": [], "embeddings": [], "next_segment": 1, "next_seq": 1, "batches": {}}
 
 
+def folders(manifest: dict) -> list[str]:
+    """All that a version names."""
+    return [*(s["folder"] for s in manifest["segments"]), *(f for kind in ("patches", "tombstones", "embeddings") for f, _ in manifest[kind])]
+
+
 class FormatError(RuntimeError):
     """The manifest was written by another format version."""
 
@@ -38,16 +45,28 @@ class TraceStore:
 
     # versions
 
+    def _names(self) -> list[int]:
+        return sorted(int(n[1:-5]) for n in self.files.names("manifest") if n.startswith("v") and n.endswith(".json"))
+
+    def _load(self, version: int) -> dict | None:
+        """What a manifest says; None if it is torn."""
+        try:
+            found = json.loads(self.files.read(f"manifest/v{version:012d}.json"))
+        except ValueError:
+            return None
+        return found if isinstance(found, dict) and {"version", "format"} <= set(found) else None
+
     def versions(self) -> list[int]:
-        return sorted(int(n[1:-5]) for n in self.files.names("manifest") if n.endswith(".json"))
+        return [v for v in self._names() if self._load(v)]
 
     def manifest(self, version: int | None = None) -> dict:
+        """One version, or the last that can be read."""
         if version is None:
-            known = self.versions()
-            if not known:
-                return EMPTY
-            version = known[-1]
-        return EMPTY if version == 0 else json.loads(self.files.read(f"manifest/v{version:012d}.json"))
+            return next((m for v in reversed(self._names()) if (m := self._load(v))), EMPTY)
+        found = EMPTY if version == 0 else self._load(version)
+        if found is None:
+            raise ValueError(f"the manifest of version {version} is torn")
+        return found
 
     def check_format(self) -> None:
         found = self.manifest()["format"]
@@ -61,8 +80,8 @@ class TraceStore:
             new = change(json.loads(json.dumps(base)))
             if new is None:
                 return base["version"]
-            new["version"] = base["version"] + 1
-            if self.files.create(f"manifest/v{new['version']:012d}.json", json.dumps(new)):
+            new["version"] = max([base["version"], *self._names()]) + 1
+            if self.files.publish(f"manifest/v{new['version']:012d}.json", json.dumps(new)):
                 return new["version"]
             time.sleep(0.05)
         raise RuntimeError("other writers kept committing")
@@ -72,10 +91,13 @@ class TraceStore:
         df.write.parquet(f"{self.path}/{folder}")
         return folder
 
-    def _read(self, folders: list[str], schema) -> DataFrame:
-        if not folders:
+    def _read(self, numbered: list[list], schema, number: str) -> DataFrame:
+        """The rows of folders with the number of each as a column."""
+        if not numbered:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
+        read = self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f, _ in numbered))
+        ids = F.create_map(*(x for f, n in numbered for x in (F.lit(f.split("/")[1]), F.lit(n).cast("bigint"))))
+        return read.withColumn(number, ids[F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/", 1)])
 
     # writes
 
@@ -84,7 +106,9 @@ class TraceStore:
         if batch and self.manifest()["batches"].get(batch[0], -1) >= batch[1]:
             return self.manifest()["version"]
         have = set(events.columns)
-        row = F.struct(*order) if order and len(order) > 1 else F.col(order[0]).cast("bigint") if order else F.monotonically_increasing_id()
+        if order and len(order) > 1:  # ids rise along the range partitions
+            events = events.repartitionByRange(*order).sortWithinPartitions(*order)
+        row = F.col(order[0]).cast("bigint") if order and len(order) == 1 else F.monotonically_increasing_id()
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS]
         folder = self._write(events.select(*columns, row.alias("row_idx")), "segments")
         return self._add_segment(folder, level, batch)
@@ -113,24 +137,22 @@ class TraceStore:
 
         return self._commit(change)
 
+    def _numbered(self, kind: str, folder: str) -> int:
+        """Names a folder of rows in the next version, with the number that its rows have there."""
+        return self._commit(lambda m: m | {kind: [*m[kind], [folder, m["next_seq"]]], "next_seq": m["next_seq"] + 1})
+
     def delete(self, rows: DataFrame) -> int:
         """Tombstones for (segment_id, row_idx)."""
-        seq = self.manifest()["next_seq"]
-        folder = self._write(rows.select("segment_id", "row_idx", F.lit(seq).cast("bigint").alias("deletion_seq")), "tombstones")
-        return self._commit(lambda m: m | {"tombstones": [*m["tombstones"], folder], "next_seq": m["next_seq"] + 1})
+        return self._numbered("tombstones", self._write(rows.select("segment_id", "row_idx"), "tombstones"))
 
     def upgrade(self, patches: DataFrame) -> int:
         """Late values by span (trace_id, span_id and any of the folded columns; segment_id defaults to the lowest). Identity can't change."""
-        seq, have = self.manifest()["next_seq"], set(patches.columns)
-        fixed = {"segment_id": F.lit(0), "patch_seq": F.lit(seq)}
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PATCHES]
-        folder = self._write(patches.select(*columns), "patches")
-        return self._commit(lambda m: m | {"patches": [*m["patches"], folder], "next_seq": m["next_seq"] + 1})
+        have = set(patches.columns)
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else (F.lit(0) if f.name == "segment_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in PATCHES if f.name != "patch_seq"]
+        return self._numbered("patches", self._write(patches.select(*columns), "patches"))
 
     def index_embedding(self, vectors: DataFrame) -> int:
-        seq = self.manifest()["next_seq"]
-        folder = self._write(vectors.select("trace_id", "span_id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(seq).cast("bigint").alias("lsn")), "embeddings")
-        return self._commit(lambda m: m | {"embeddings": [*m["embeddings"], folder], "next_seq": m["next_seq"] + 1})
+        return self._numbered("embeddings", self._write(vectors.select("trace_id", "span_id", F.col("embedding").cast("array<float>").alias("embedding")), "embeddings"))
 
     # reads
 
@@ -154,17 +176,17 @@ class TraceStore:
         m = self.manifest(version)
         out = query.events(self._stored(self.segments(query, version)))
         if m["tombstones"]:
-            out = fold.drop_tombstones(out, self._read(m["tombstones"], TOMBSTONES), ORDER)
+            out = fold.drop_tombstones(out, self._read(m["tombstones"], TOMBSTONES, "deletion_seq"), ORDER)
         return out
 
     def spans(self, query: TraceQuery = TraceQuery(), version: int | None = None, keys: DataFrame | None = None, scope: str = "global", window_mode: str = "events") -> DataFrame:
         m = self.manifest(version)
-        patches = self._read(m["patches"], PATCHES) if m["patches"] else None
+        patches = self._read(m["patches"], PATCHES, "patch_seq") if m["patches"] else None
         within = query if window_mode == "events" else TraceQuery(trace_id=query.trace_id)
         return fold.spans(self.events(within, version), ORDER, query, patches=patches, keys=keys, scope=scope, window_mode=window_mode)
 
     def embeddings(self, version: int | None = None) -> DataFrame:
-        return latest_embeddings(self._read(self.manifest(version)["embeddings"], EMBEDDINGS))
+        return latest_embeddings(self._read(self.manifest(version)["embeddings"], EMBEDDINGS, "lsn"))
 
     # maintenance
 
@@ -189,7 +211,7 @@ class TraceStore:
         named = set()
         for v in keep:
             m = self.manifest(v)
-            named |= {s["folder"] for s in m["segments"]} | {*m["patches"], *m["tombstones"], *m["embeddings"]}
+            named |= set(folders(m))
         gone = [f"{kind}/{n}" for kind in ("segments", "patches", "tombstones", "embeddings") for n in self.files.names(kind) if f"{kind}/{n}" not in named]
         for folder in gone:
             self.files.delete(folder)
@@ -201,7 +223,7 @@ class TraceStore:
     def backup(self, target: str, version: int | None = None) -> int:
         """Copies what one version names to another root, which is then a store of its own."""
         m = self.manifest(version)
-        for folder in [*(s["folder"] for s in m["segments"]), *m["patches"], *m["tombstones"], *m["embeddings"]]:
+        for folder in folders(m):
             self.files.copy_to(folder, target)
         self.files.copy_to(f"manifest/v{m['version']:012d}.json", target)
         return m["version"]
