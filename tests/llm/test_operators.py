@@ -101,7 +101,7 @@ def test_windows_are_full_and_hold_each_token_once(spark):
         first[r.source] += r.n_tokens * (r.window_id < 10)
     assert abs(first["a"] - 960) < 2
     with pytest.raises(ValueError):
-        packing.pack(docs, window=4, weights={"a": 1, "b": 1}).collect()
+        packing.pack(docs, window=4, weights={"a": 1, "b": 9}).collect()
 
 
 # 3
@@ -134,13 +134,38 @@ def test_phrases_and_proximity_against_brute_force(spark):
     names = sorted(set(w for a in asks for w in a), key=lambda w: hash_words([w])[0])
     place, counts = {w: i for i, w in enumerate(names)}, np.array([freq[w] for w in names])
     for i, item in enumerate(asks):
-        terms = [names[t] for t in decontam.near_terms([place[w] for w in item], counts, sum(map(len, docs)))] if item else []
+        terms, need = decontam.rare_terms([place[w] for w in item], counts) if item else ([], 0)
+        terms = [names[t] for t in terms]
         for d, words in enumerate(docs):
             at = {t: [p for p, w in enumerate(words) if w == t] for t in terms}
-            hits = [p for p in at[terms[0]] if all(any(abs(p - q) <= decontam.SPAN for q in at[t]) for t in terms[1:])] if terms else []
+            lead = sorted(p for t in terms[: len(terms) - need + 1] for p in at[t])
+            hits = [p for p in lead if sum(any(abs(p - q) <= decontam.SPAN for q in at[t]) for t in terms) >= need] if terms else []
             if hits:
                 near[d, i] = len(hits), hits[0], hits[-1]
-    assert {(r.doc_id, r.item_id): (r.hits, r.first_word, r.last_word) for r in found if r.kind == "near"} == near
+    assert near and {(r.doc_id, r.item_id): (r.hits, r.first_word, r.last_word) for r in found if r.kind == "near"} == near
+
+
+def test_growth_by_unrelated_text_changes_no_match(spark):
+    texts, bench = random_texts(60, 200, seed=5, vocabulary=90), random_texts(6, 14, seed=6, vocabulary=90)
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    docs = make(spark, texts + [bench[0]])
+    more = make(spark, [" ".join(f"u{x}" for x in np.random.default_rng(k).integers(0, 500, 20_000)) for k in range(30)]).withColumn("doc_id", F.col("doc_id") + 1000)
+    rows = lambda d: sorted(tuple(r) for r in decontam.matches(d, items).collect())
+    found = rows(docs)
+    assert {r[3] for r in found} == {"phrase", "near"} and rows(docs.union(more)) == found
+
+
+def test_one_index_serves_several_benchmarks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PORTION", 7)
+    texts, bench = random_texts(60, 200, seed=5, vocabulary=90), random_texts(6, 14, seed=6, vocabulary=90)
+    docs = make(spark, texts + bench)
+    index = decontam.build_index(docs)
+    split = decontam.build_index(docs.repartition(5))
+    assert index.count() < split.count()
+    for part in (bench[:2], bench[2:], bench):
+        items = spark.createDataFrame(list(enumerate(part)), "item_id long, text string")
+        rows = [sorted(tuple(r) for r in decontam.search(i, items).collect()) for i in (index, split)]
+        assert rows[0] == rows[1] == sorted(tuple(r) for r in decontam.matches(docs, items).collect()) and rows[0]
 
 
 def test_copies_with_some_words_replaced(spark):
@@ -279,30 +304,115 @@ def test_fisher_yates_is_uniform():
 
 def test_walk_against_dense_matrices(spark):
     rng = np.random.default_rng(7)
-    v = 12
-    dense = np.triu(rng.random((v, v)) * (rng.random((v, v)) < 0.4), 1)
-    rows = [(a, np.flatnonzero(dense[a]).astype(np.int32).tobytes(), dense[a][dense[a] > 0].astype(np.float32).tobytes()) for a in range(v)]
-    graph = spark.createDataFrame([(a, bytearray(n), bytearray(w)) for a, n, w in rows], "a int, near binary, weight binary")
-    seeds = np.zeros((v, 2))
-    seeds[0, 0] = seeds[5, 1] = 1
-    both = dense + dense.T
-    degree = both.sum(0)
-    step = both / np.where(degree > 0, degree, 1)
-    p = seeds
-    for _ in range(toxicity.STEPS):
-        p = toxicity.RESTART * seeds + (1 - toxicity.RESTART) * step @ p
-    assert np.allclose(toxicity.walk(graph, seeds), p, atol=1e-5)
-
-
-def test_rare_words_are_in_the_graph(spark):
-    """Five of 1,250 documents have a word; its company, not a label, tells that it is toxic."""
+    v, seeds = 15, np.array([0, 5, 6, 11])
+    dense = np.triu(rng.random((v, v)) * (rng.random((v, v)) < 0.6), 1)
+    dense = dense + dense.T
+    dense[np.ix_(*[np.setdiff1d(np.arange(v), seeds)] * 2)] = 0
+    rows = []
+    for a in range(v):
+        near = np.array([c for c in seeds if dense[a, c] and (a not in seeds or a < c)], np.int32)
+        rows.append((a, bytearray(near.tobytes()), bytearray(dense[a][near].astype(np.float32).tobytes())))
+    graph = spark.createDataFrame([r for r in rows if r[1]], "a int, near binary, weight binary")
+    restart = np.zeros((v, 2))
+    restart[[0, 5], 0], restart[[6, 11], 1] = (0.7, 0.3), (0.4, 0.6)
+    degree = dense.sum(0)
+    step = dense / np.where(degree > 0, degree, 1)
+    p = restart
+    for _ in range(300):
+        p = toxicity.RESTART * restart + (1 - toxicity.RESTART) * step @ p
+    assert np.allclose(toxicity.walk(graph, seeds, restart), p, atol=1e-6)
+
+
+def test_numbers_of_any_size():
+    x = np.random.default_rng(5).integers(0, 1 << 35, 5000) >> np.random.default_rng(6).integers(0, 35, 5000)
+    x = np.concatenate((x, [0, 127, 128, (1 << 14) - 1, 1 << 14, (1 << 35) - 1]))
+    assert np.array_equal(toxicity._numbers(toxicity._varints(x)[0]), x)
+
+
+def toxic_texts(n=1500):
+    """English-like noise; every fifteenth document has company of filth, five of the 'gutter' without a label."""
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 600, 30)) for _ in range(1250)]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 600, 30)) for _ in range(n)]
     for i in range(65):
         texts[i] += f" filth a{i} filth" + " gutter filth" * 2 * (i >= 60)
-    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in [*range(60), *range(65, 400)]], "doc_id long, quality int, toxic int")
-    lexicon = toxicity.induce(make(spark, texts), toxicity.labelled(labels))
-    assert [r.hits for r in toxicity.score(make(spark, ["gutter", "filth", "w7", "a7"]), lexicon).orderBy("doc_id").collect()] == [1, 1, 0, 0]
+    return texts
+
+
+TOXIC_LABELS = [(i, 1, int(i < 60)) for i in [*range(60), *range(65, 400)]]
+
+
+def test_lexicon_against_brute_force(spark):
+    """Terms, seeds, passages, weights, walks, polarities and scores again, in plain Python."""
+    texts = toxic_texts() + ["", None, "filth " * 300] + [toxic_texts()[61]] * 40
+    docs = make(spark, texts)
+    known = dict((i, t) for i, _, t in TOXIC_LABELS)
+    words = [re.findall(r"[a-z0-9]+", t or "") for t in texts]
+    df, toxic, clean, uses = Counter(), Counter(), Counter(), defaultdict(set)
+    for i, w in enumerate(words):
+        for x in set(w):
+            df[x] += 1
+            toxic[x] += known.get(i) == 1
+            clean[x] += known.get(i) == 0
+        if known.get(i) == 1:
+            for k, x in enumerate(w):
+                uses[x].add((w[k - 1] if k else None, w[k + 1] if k + 1 < len(w) else None))
+    terms = {x for x in df if df[x] >= toxicity.MIN_DOCS}
+    used = {x: min(toxic[x], len(uses[x])) for x in terms}
+    n_toxic, n_clean = sum(known.values()), len(known) - sum(known.values())
+    bad = {x for x in terms if used[x] >= toxicity.MIN_USES and toxicity.wilson(np.array([used[x]]), np.array([clean[x]]))[0] >= 0.5}
+    fit = [x for x in terms if df[x] <= toxicity.USUAL_DF * len(texts) and clean[x] and toxic[x] * n_clean <= clean[x] * n_toxic]
+    good = set(sorted(fit, key=lambda x: (-df[x], hash_words([x])[0]))[: toxicity.CLEAN_SEEDS])
+    passages = {frozenset(x for x in w[k : k + toxicity.PASSAGE] if x in terms) for w in words for k in range(0, len(w), toxicity.PASSAGE)} - {frozenset()}
+    often = Counter(x for p in passages for x in p)
+    seeds, names = bad | good, sorted(terms)
+    n = Counter(frozenset((x, y)) for p in passages for x in p & seeds for y in p if x != y and (y not in seeds or x < y))
+    place, dense = {x: i for i, x in enumerate(names)}, np.zeros((len(names), len(names)))
+    for pair, k in n.items():
+        x, y = pair
+        expected = often[x] * often[y] / len(passages)
+        weight = np.log(k / expected) - np.log(toxicity.SHIFT)
+        if k >= toxicity.MIN_COUNT and k - expected >= toxicity.MIN_Z * np.sqrt(expected) and weight > 0:
+            dense[place[x], place[y]] = dense[place[y], place[x]] = weight
+    restart = np.zeros((len(names), 2))
+    for column, (own, much) in enumerate(((bad, used), (good, df))):
+        for x in own:
+            restart[place[x], column] = much[x] / sum(much[y] for y in own)
+    step = dense / np.where(dense.sum(0) > 0, dense.sum(0), 1)
+    p = restart
+    for _ in range(300):
+        p = toxicity.RESTART * restart + (1 - toxicity.RESTART) * step @ p
+    want = (p[:, 0] - p[:, 1]) / (p.sum(1) + toxicity.NEUTRAL / len(names))
+    want = {x: min(0, w) if clean[x] > used[x] else w for x, w in zip(names, want)}
+    got = toxicity.induce(docs, known)
+    got = dict(zip(got.column("h").to_numpy().view(U).tolist(), got.column("polarity").to_numpy()))
+    assert "filth" in bad and want["gutter"] >= toxicity.LEXICON
+    assert set(got) == {int(h) for h in hash_words(names)}
+    assert all(abs(got[int(hash_words([x])[0])] - want[x]) < 1e-5 for x in names)
+    scores = {r.doc_id: (r.score, r.hits) for r in toxicity.score(docs, toxicity.induce(docs, known)).collect()}
+    for i, w in enumerate(words):
+        hits = [want[x] for x in w if want.get(x, 0) >= toxicity.LEXICON]
+        assert scores[i][1] == len(hits) and abs(scores[i][0] - sum(hits)) < 1e-3
+
+
+def test_walks_find_words_that_are_no_seeds(spark):
+    """Half of the certain words may not be seeds. The walks find most of them again, and mark toxic documents better than the seeds left."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    known = toxicity.labelled(labels)
+    t = toxicity.terms(docs, known)
+    certain = t.h[t.toxic_seeds()]
+    out = certain[::2]
+    lexicon = toxicity.induce(docs, known, held_out=out)
+    h, polarity = lexicon.column("h").to_numpy().view(U), lexicon.column("polarity").to_numpy()
+    added = np.setdiff1d(h[polarity >= toxicity.LEXICON], certain[1::2])
+    kept = pa.table([certain[1::2].view(np.int64), np.ones(len(certain[1::2]))], schema=toxicity.LEXICON_ROWS)
+    toxic = [i for i, k in known.items() if k]
+    hits = lambda x: {r.doc_id for r in toxicity.score(docs, x).filter("hits > 0").select("doc_id").distinct().collect()} & set(toxic)
+    own = np.isin(t.h, added)
+    print("held out:", len(out), "found again:", np.isin(out, added).sum(), "added:", len(added), "toxic uses of those added:", t.toxic[own].sum(), "clean:", t.clean[own].sum(), "toxic documents:", len(hits(lexicon)), "by the kept seeds:", len(hits(kept)), "of", len(toxic))
+    assert np.isin(out, added).mean() >= 0.5
+    assert t.toxic[own].sum() >= 5 * t.clean[own].sum()
+    assert len(hits(lexicon)) > len(hits(kept))
 
 
 def test_toxicity_held_out(spark):
