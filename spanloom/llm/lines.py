@@ -11,7 +11,8 @@ occurrence (by doc_id, nulls first, then place in the text) go; lines under ``mi
 
 Results for odd input: null text stays null with 0 lines; empty text has one line and keeps it; rows that repeat both
 doc_id and text are one document and come out once; a null doc_id is an id like any other; an empty table gives an empty
-result; extra columns are ignored by ``dedup_lines`` and kept by ``filter_lines``. Two lines whose 64-bit hashes collide
+result; extra columns are ignored by ``dedup_lines`` and kept by ``filter_lines`` (of repeated rows that differ in them the
+one of the least hash of all columns). Two lines whose 64-bit hashes collide
 share a slot; the one whose fingerprint is not stored is kept.
 """
 
@@ -21,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .shared import materialise
+from .shared import materialise, one_each
 from .tokens import U, mix
 
 MIN_CHARS = 20
@@ -164,10 +164,12 @@ def mark(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHARS
     keyed = _keyed(docs)
     lines = materialise(occurrences(keyed, max(1, -(-size // shard_bytes)), min_chars), "lines")
     index = materialise(build_index(lines), "line-index")
-    drops = _drops(lines, index, min_count).groupBy("__ll_key", "__ll_key2").agg(F.collect_set("__ll_pos").alias("__ll_drop"))
-    w = W.partitionBy("__ll_key", "__ll_key2").orderBy("__ll_key")
-    joined = keyed.join(materialise(drops, "line-drops"), ["__ll_key", "__ll_key2"], "left").withColumn("__ll_row", F.row_number().over(w)).filter("__ll_row = 1")
-    return joined
+    drops = materialise(_drops(lines, index, min_count).groupBy("__ll_key", "__ll_key2").agg(F.collect_set("__ll_pos").alias("__ll_drop")), "line-drops")
+    key = ["__ll_key", "__ll_key2"]
+    again = materialise(keyed.groupBy(*key).count().filter("count > 1").select(*key), "line-repeats")
+    if not again.isEmpty():
+        keyed = keyed.join(again, key, "left_anti").select(keyed.columns).union(one_each(keyed.join(again, key, "left_semi"), key, docs.columns).select(keyed.columns))
+    return keyed.join(drops, key, "left")
 
 
 def _parts(marked: DataFrame) -> DataFrame:

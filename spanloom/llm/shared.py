@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 P = "__ll_"
@@ -43,3 +44,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_hash(col: str = "text"):
     """64-bit identity of a text; null has its own."""
     return F.xxhash64(F.coalesce(F.col(col), F.lit("\x00null")))
+
+
+def one_each(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """One row of those that agree in ``key``: that of the least hash of all ``columns``, so which one doesn't depend on order."""
+    w = W.partitionBy(*key).orderBy(F.xxhash64(F.to_json(F.struct(*columns))))
+    return df.withColumn(f"{P}row", F.row_number().over(w)).filter(f"{P}row = 1").drop(f"{P}row")
