@@ -15,8 +15,9 @@ the square root of its tokens. Every token is packed once; all windows but the l
 
 Results for odd input: null, empty or blank text has no tokens and no segment; a null source is a queue of its own, first
 in order, and a null doc_id comes first in its queue; repeated rows are packed once each; an empty table gives no windows;
-extra columns are ignored. More sources than a quarter of the window's tokens raise ValueError, as a share must be at
-least a token.
+extra columns are ignored. A queue's share of a window must be at least a token: of more sources than a quarter of the
+window's tokens the smallest share one queue, one source after the other; given ``weights`` that lack a source, aren't
+positive integers or come to less raise ValueError.
 """
 
 from __future__ import annotations
@@ -42,13 +43,22 @@ def default_weights(totals: list[int], window: int) -> list[int]:
     return [max(least, SCALE * r // max(1, sum(roots))) for r in roots]
 
 
+def shared_queues(totals: list[int], most: int) -> list[tuple[int, int]]:
+    """The queue of each source and how many tokens of other sources come before it there: one each, or the last for all that are too many."""
+    own = set(sorted(range(len(totals)), key=lambda i: (-totals[i], i))[: most if len(totals) <= most else most - 1])
+    out, n, before = [], 0, 0
+    for i, t in enumerate(totals):
+        out.append((n, 0) if i in own else (len(own), before))
+        n += i in own
+        before += 0 if i in own else t
+    return out
+
+
 class Schedule:
     """How many tokens of each queue the first t tokens of all windows hold."""
 
     def __init__(self, totals: list[int], weights: list[int], window: int):
         s = len(totals)
-        if s * 4 > window:
-            raise ValueError(f"{s} sources need a window of {4 * s} tokens at least")
         if s and min(weights) * window < sum(weights):
             raise ValueError("a source's share of a window must be at least a token")
         self.window, self.total = window, sum(totals)
@@ -109,12 +119,12 @@ SEGMENTS = pa.schema([("window_id", pa.int64()), ("pos", pa.int64()), ("doc_id",
 
 def _cutter(plan, names):
     def run(batches):
-        s, index = plan.value, {n: i for i, n in enumerate(names.value)}
+        s, index = plan.value, names.value
         for b in batches:
-            source = np.array([index[x] for x in b.column(1).to_pylist()], np.int64)
-            n, c = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
-            if not len(n):
+            if not b.num_rows:
                 continue
+            source, before_it = np.array([index[x] for x in b.column(1).to_pylist()], np.int64).T
+            n, c = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False) + before_it
             lo, hi = s.first_window(c, source), s.first_window(c + n - 1, source)
             doc = np.repeat(np.arange(len(n)), hi - lo + 1)
             k = np.arange(len(doc)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[doc]
@@ -137,8 +147,16 @@ def pack(docs: DataFrame, window: int = WINDOW, weights: dict | None = None) ->
     parts = placed.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
     base = parts.withColumn("base", F.sum("tokens").over(W.partitionBy("source").orderBy("part")) - F.col("tokens")).select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
     totals = sorted(((r[0], r[1]) for r in parts.groupBy("source").agg(F.sum("tokens")).collect()), key=lambda x: (x[0] is not None, (x[0] or "").encode()))
-    names, counts = [x[0] for x in totals], [x[1] for x in totals]
-    w = default_weights(counts, window) if weights is None else [weights[x] for x in names]
+    queues = shared_queues([x[1] for x in totals], max(1, window // 4)) if weights is None else [(i, 0) for i in range(len(totals))]
+    counts = [0] * (1 + max((q for q, _ in queues), default=-1))
+    for (q, _), (_, n) in zip(queues, totals):
+        counts[q] += n
+    if weights is not None:
+        odd = [x for x, _ in totals if not isinstance(weights.get(x), int) or weights[x] <= 0]
+        if odd:
+            raise ValueError(f"the weights of {odd} must be positive integers")
+    w = default_weights(counts, window) if weights is None else [weights[x] for x, _ in totals]
+    names = {x: q for (x, _), q in zip(totals, queues)}
     send = docs.sparkSession.sparkContext.broadcast
     rows = placed.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", "n", (F.col("base") + F.col("off")).alias("c"))
     return rows.mapInArrow(_cutter(send(Schedule(counts, w, window)), send(names)), "window_id long, pos long, doc_id long, source string, start_token long, end_token long, n_tokens long")

@@ -48,7 +48,7 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shuffle(table(spark, sf_dir, "documents"))
+    return sharding.write_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no media, so each embedding is rendered as a TIFF of four pages first."""
+    """The tables hold no media, so each embedding is rendered as a TIFF of four pages first. SQL can't say bytes, so the samples' sums stand for them."""
     return tiff.pages(tiff.rendered(table(spark, sf_dir, "embeddings")), pixels=False)
 
 

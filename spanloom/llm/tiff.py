@@ -44,37 +44,49 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _codes(data: bytes):
+    """Codes of 9 to 12 bits, high bit first, one code early at each width; 256 begins a table, 257 ends. Yields the codes of each table."""
+    bits, at = np.unpackbits(np.frombuffer(data, np.uint8)), 0
+    while True:
+        own = []
+        for width, many in ((9, 254), (10, 512), (11, 1024), (12, None)):
+            n = (len(bits) - at) // width
+            n = n if many is None else min(n, many)
+            codes = (bits[at : at + n * width].reshape(n, width).astype(np.int32) << np.arange(width - 1, -1, -1)).sum(1)
+            stop = np.flatnonzero((codes == 256) | (codes == 257))
+            if len(stop):
+                own += codes[: stop[0]].tolist()
+                at += (int(stop[0]) + 1) * width
+                yield own
+                if codes[stop[0]] == 257:
+                    return
+                break
+            own += codes.tolist()
+            at += n * width
+            if n != many:
+                yield own
+                return
+
+
 def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, one code early at each width; 256 clears the table, 257 ends."""
-    out, table, last = [], [], b""
-    width, acc, bits = 9, 0, 0
-    for byte in data:
-        acc = (acc << 8 | byte) & 0xFFFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits & ((1 << width) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = [], 9, b""
-            continue
-        if code < 256:
-            entry = bytes((code,))
-        elif code - 258 < len(table):
-            entry = table[code - 258]
-        elif last and code - 258 == len(table):
-            entry = last + last[:1]
-        else:
-            raise TiffError("a bad LZW code")
-        out.append(entry)
-        if last:
-            table.append(last + entry[:1])
-            size = len(table) + 259
-            width = 12 if size >= 2048 else 11 if size >= 1024 else 10 if size >= 512 else 9
-        last = entry
-    return b"".join(out)
+    """A code's string stands in the output already: it is that of the code which made it, and the byte after."""
+    out = bytearray()
+    for codes in _codes(data):
+        place, length = [], []
+        for i, code in enumerate(codes):
+            place.append(len(out))
+            if code < 256:
+                out.append(code)
+                length.append(1)
+                continue
+            k = code - 258
+            if not 0 <= k < i:
+                raise TiffError("a bad LZW code")
+            n = length[k] + 1
+            part = out[place[k] : place[k] + n]
+            out += part if len(part) == n else part + part[:1]
+            length.append(n)
+    return bytes(out)
 
 
 def _inflate(data: bytes) -> bytes:
@@ -140,6 +152,9 @@ def _samples(raw: bytes, rows: int, width: int, spp: int, bits: int, fmt: int, p
 
 
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
+    for t in (256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339):
+        if t in tags and not ((tags[t] or t in (273, 279, 324, 325)) and all(isinstance(x, int) and x >= 0 for x in tags[t])):
+            raise TiffError(f"the values of tag {t} aren't counts")
     one = lambda t, default: tags.get(t, (default,))[0]
     if 256 not in tags or 257 not in tags:
         raise TiffError("a directory without a size")
@@ -195,10 +210,10 @@ def read_tiff(data: bytes) -> tuple[list[dict], str | None]:
             tags, at = _directory(data, at, order, big)
             try:
                 pages.append(_page(data, tags, order))
-            except (TiffError, struct.error) as e:
-                pages.append({"error": str(e)})
-    except (TiffError, struct.error) as e:
-        return pages, str(e)
+            except Exception as e:  # whatever a page holds, the others come out
+                pages.append({"error": str(e) or type(e).__name__})
+    except Exception as e:
+        return pages, str(e) or type(e).__name__
     return pages, None
 
 
@@ -302,7 +317,7 @@ def write_tiff(pages: list[dict], order: str = "<", big: bool = False) -> bytes:
     return bytes(out)
 
 
-PAGES = "width int, height int, samples int, bits int, compression string, predictor int, layout string, chunks int, pixel_sum double, pixel_min double, pixel_max double, error string"
+PAGES = "width int, height int, samples int, bits int, compression string, predictor int, layout string, chunks int, pixel_sum double, pixel_min double, pixel_max double, pixel_check double, error string"
 _PAGES = pa.schema([("id", pa.int64()), ("page", pa.int32()), *((c, {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}[t]) for c, t in (x.split(" ") for x in PAGES.split(", "))), ("pixels", pa.binary())])
 
 
@@ -320,7 +335,7 @@ def _reader(pixels: bool):
                         continue
                     x = p.pop("pixels")
                     f = x.astype(float)
-                    stats = {"pixel_sum": round(float(f.sum()), 6), "pixel_min": float(f.min()), "pixel_max": float(f.max())} if x.size else {}
+                    stats = {"pixel_sum": round(float(f.sum()), 6), "pixel_min": float(f.min()), "pixel_max": float(f.max()), "pixel_check": round(float(f.ravel() @ np.arange(1, f.size + 1)), 4)} if x.size else {}
                     rows.append({"id": key, "page": n, **p, **stats, "pixels": x.tobytes() if pixels else None})
                     size += x.nbytes if pixels else 100
                 if error:
@@ -334,7 +349,10 @@ def _reader(pixels: bool):
 
 
 def pages(media: DataFrame, id_col: str = "id", data_col: str = "data", pixels: bool = True) -> DataFrame:
-    """One row per page: id, page, its form, statistics, error and (with ``pixels``) the samples by row, little-endian."""
+    """One row per page: id, page, its form, statistics, error and (with ``pixels``) the samples by row, little-endian.
+
+    ``pixel_check`` is the sum of the samples times their places from 1 on, so it tells their order.
+    """
     out = media.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).alias("data")).mapInArrow(_reader(pixels), f"id long, page int, {PAGES}, pixels binary")
     return out if pixels else out.drop("pixels")
 
@@ -374,7 +392,7 @@ q AS (SELECT id, v, CASE WHEN len(v) = 64 THEN 8 ELSE len(v) END AS width, CASE
 p AS (SELECT id, width, height, 0 AS page, 1 AS samples, 32 AS bits, 'deflate' AS compression, 3 AS predictor, 'tiles' AS layout, ((width + 15) // 16) AS chunks, v FROM q
  UNION ALL SELECT id, width, height, 1, 1, 8, 'packbits', 1, 'strips', (height + 2) // 3, q8 FROM q
  UNION ALL SELECT id, width, height, 2, 1, 16, 'lzw', 2, 'strips', (height + 2) // 3, q16 FROM q
- UNION ALL SELECT id, width, height, 3, 2, 8, 'none', 2, 'strips', 2 * ((height + 2) // 3), list_concat(q8, list_transform(q8, lambda x: 255 - x)) FROM q)
+ UNION ALL SELECT id, width, height, 3, 2, 8, 'none', 2, 'strips', 2 * ((height + 2) // 3), flatten(list_transform(q8, lambda x: [x, 255 - x])) FROM q)
 SELECT id, page::INT AS page, width::INT AS width, height::INT AS height, samples::INT AS samples, bits::INT AS bits, compression, predictor::INT AS predictor, layout, chunks::INT AS chunks,
- round(list_sum(v), 6) AS pixel_sum, list_min(v) AS pixel_min, list_max(v) AS pixel_max, NULL::VARCHAR AS error FROM p
+ round(list_sum(v), 6) AS pixel_sum, list_min(v) AS pixel_min, list_max(v) AS pixel_max, round(list_sum(list_transform(v, lambda x, i: x * i)), 4) AS pixel_check, NULL::VARCHAR AS error FROM p
 """
