@@ -36,4 +36,5 @@ def clamp_score(score: Column) -> Column:
 
 
 def rfc3339(ts_ns: Column) -> Column:
-    return F.date_format(F.timestamp_micros((ts_ns / 1000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """UTC (the session's time zone has to be that) with whole milliseconds, later digits cut."""
+    return F.date_format(F.timestamp_micros(F.call_function("div", ts_ns, F.lit(1000))), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

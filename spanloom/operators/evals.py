@@ -39,10 +39,11 @@ def score_spans(spans: DataFrame, scorer: Scorer) -> DataFrame:
     return out.select("trace_id", "span_id", "agent_name", F.col("_o.score").alias("eval_score"), F.col("_o.label").alias("eval_label"))
 
 
-def writeback(spans: DataFrame, scorer: Scorer, segments: DataFrame, patch_seq: int) -> DataFrame:
-    """Scores as late patches of the lowest segment that holds each span (trace_id, span_id, segment_id in ``segments``)."""
+def writeback(spans: DataFrame, scorer: Scorer, segments: DataFrame, patch_seq: int | None = None) -> DataFrame:
+    """Scores as late patches of the lowest segment that holds each span (trace_id, span_id, segment_id in ``segments``); a store numbers them itself."""
     home = segments.groupBy("trace_id", "span_id").agg(F.min("segment_id").alias("segment_id"))
-    return score_spans(spans, scorer).drop("agent_name").join(home, ["trace_id", "span_id"]).withColumn("patch_seq", F.lit(patch_seq).cast("bigint"))
+    out = score_spans(spans, scorer).drop("agent_name").join(home, ["trace_id", "span_id"])
+    return out if patch_seq is None else out.withColumn("patch_seq", F.lit(patch_seq).cast("bigint"))
 
 
 def _aggregate(score: str, threshold: int) -> list[Column]:
@@ -98,7 +99,3 @@ def score_sessions(timeline: DataFrame, bad: list[str] = BAD_WORDS) -> DataFrame
     score = F.when(~F.col("resolved"), 0).when(F.col("looped"), 500).otherwise(1000)
     label = F.when(~F.col("resolved"), "未解决").when(F.col("looped"), "绕圈后解决").otherwise("一次到位")
     return out.withColumns({"score": score, "label": label})
-
-
-def harness_summary(sessions: DataFrame) -> DataFrame:
-    return sessions.agg(F.count("*").alias("sessions"), F.count_if(F.col("score") == 1000).alias("efficient"), F.count_if(F.col("score") == 500).alias("looped"), F.count_if(F.col("score") == 0).alias("unresolved"), F.round(F.avg("turns"), 6).alias("avg_turns"))

@@ -1,19 +1,15 @@
-"""Text, vector and hybrid search over spans. Queries come as tables: many of them are one job."""
+"""Filters, rankings and fusion of searches over spans. Queries come as tables: many of them are one job."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import unsigned_order
-from spanloom.functions.tokenize import bigrams
-from spanloom.functions.vectors import batch_distance, distance
+from spanloom.functions.vectors import distance
 
 KEY = ["trace_id", "span_id"]
 K1, B, RRF = 1.5, 0.75, 60
@@ -66,34 +62,6 @@ def search_text(events: DataFrame) -> DataFrame:
     return events.select(*KEY, F.concat_ws(" ", *have, logs).alias("text"))
 
 
-def postings(docs: DataFrame, tokenizer: Callable[[Column], Column] = bigrams) -> DataFrame:
-    """token, trace_id, span_id, tf."""
-    return docs.select(*KEY, F.explode(tokenizer(F.col("text"))).alias("token")).groupBy("token", *KEY).agg(F.count("*").alias("tf"))
-
-
-def doc_stats(index: DataFrame) -> DataFrame:
-    """trace_id, span_id, length of every document with a token."""
-    return index.groupBy(*KEY).agg(F.sum("tf").alias("doc_len"))
-
-
-def bm25(index: DataFrame, queries: DataFrame, k: int | None = 10, tokenizer: Callable[[Column], Column] = bigrams, stats: DataFrame | None = None) -> DataFrame:
-    """query_id, trace_id, span_id, score, rank of the best ``k`` documents of each row of queries (query_id, query).
-
-    Statistics are the index's, so scores equal those of an exhaustive search. Postings of absent tokens are never read
-    past the join; lengths are joined to the hits only.
-    """
-    stats = doc_stats(index) if stats is None else stats
-    corpus = stats.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("avgdl"))
-    tokens = queries.select("query_id", F.explode(F.array_distinct(tokenizer(F.col("query")))).alias("token"))
-    hits = index.join(tokens, "token")
-    df = index.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "token").join(stats, KEY).crossJoin(corpus)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    total = scored.groupBy("query_id", *KEY).agg(F.round(F.sum(idf * norm), DIGITS).alias("score"))
-    return top(total, k, F.desc("score"))
-
-
 def top(df: DataFrame, k: int | None, by: Column) -> DataFrame:
     """Rank of each query's rows, ties by key; the first ``k`` of them (None: all)."""
     w = W.partitionBy("query_id").orderBy(by, unsigned_order(F.col("trace_id")), unsigned_order(F.col("span_id")))
@@ -121,64 +89,6 @@ def vector_scan(embeddings: DataFrame, query: list[float], k: int = 10, metric:
     return top(best, k, F.asc("distance"))
 
 
-def vector_batch(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
-    """The exact nearest ``k`` of each row of queries (query_id, vector): a matrix product and a local top k for each batch, then the global.
-
-    The query vectors go to every task; ask in slices if they are more than a task should hold.
-    """
-    asked = [(r[0], r[1]) for r in queries.select("query_id", "vector").collect() if r[1]]
-    sent = embeddings.sparkSession.sparkContext.broadcast(asked)
-
-    def scan(batches):
-        by_length: dict[int, list] = {}
-        for q, v in sent.value:
-            by_length.setdefault(len(v), []).append((q, v))
-        for b in batches:
-            lengths = b["embedding"].map(lambda v: -1 if v is None else len(v))
-            for n, qs in by_length.items():
-                own = b[lengths == n]
-                if not len(own):
-                    continue
-                d = np.round(batch_distance(np.stack(own["embedding"].to_numpy()), np.array([v for _, v in qs]), metric), DIGITS)
-                trace, span = own["trace_id"].to_numpy(), own["span_id"].to_numpy()
-                for c, (q, _) in enumerate(qs):
-                    best = np.lexsort((span.view(np.uint64), trace.view(np.uint64), d[:, c]))[:k]
-                    yield pd.DataFrame({"query_id": q, "trace_id": trace[best], "span_id": span[best], "distance": d[best, c]})
-
-    found = embeddings.select(*KEY, "embedding").mapInPandas(scan, "query_id bigint, trace_id bigint, span_id bigint, distance double")
-    return top(found, k, F.asc("distance"))
-
-
-def vector_postfilter(embeddings: DataFrame, query: list[float], wanted: Column, k: int = 10, pool: int = 32, metric: str = "l2") -> DataFrame:
-    """The nearest ``max(pool, k)`` first, the filter after: loses hits where the filter is selective."""
-    best = vector_scan(embeddings, query, max(pool, k), metric).drop("rank")
-    return top(best.filter(wanted), k, F.asc("distance"))
-
-
-def ivf_index(embeddings: DataFrame, lists: int = 16, seed: int = 1, sample: int = 20_000, steps: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """An approximate index: each vector with the nearest of ``lists`` centroids, which k-means finds on a bounded sample."""
-    rows = embeddings.filter(F.size("embedding") > 0).orderBy(F.xxhash64(*KEY, F.lit(seed))).limit(sample).select("embedding").collect()
-    x = np.array([r[0] for r in rows], float)
-    centroids = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
-    for _ in range(steps):
-        near = batch_distance(x, centroids).argmin(1)
-        centroids = np.array([x[near == i].mean(0) if (near == i).any() else c for i, c in enumerate(centroids)])
-
-    def assign(batches):
-        for b in batches:
-            if len(b):
-                yield b.assign(list=batch_distance(np.stack(b["embedding"].to_numpy()), centroids).argmin(1))
-
-    out = embeddings.filter(F.size("embedding") == x.shape[1]).select(*KEY, "embedding").mapInPandas(assign, "trace_id bigint, span_id bigint, embedding array<float>, list int")
-    return out, centroids
-
-
-def ivf_search(index: DataFrame, centroids: np.ndarray, query: list[float], k: int = 10, probes: int = 4, metric: str = "l2") -> DataFrame:
-    """The nearest ``k`` among the ``probes`` nearest lists; written partitioned by list, the others aren't read."""
-    near = batch_distance(centroids, np.array([query]))[:, 0].argsort()[:probes]
-    return vector_scan(index.filter(F.col("list").isin([int(i) for i in near])), query, k, metric)
-
-
 def rrf(rankings: list[DataFrame], k: int | None = 10, c: int = RRF) -> DataFrame:
     """Reciprocal-rank fusion of rankings (query_id, trace_id, span_id, rank)."""
     both = rankings[0].select("query_id", *KEY, "rank")
@@ -188,14 +98,9 @@ def rrf(rankings: list[DataFrame], k: int | None = 10, c: int = RRF) -> DataFram
     return top(fused, k, F.desc("score"))
 
 
-def hybrid(index: DataFrame, embeddings: DataFrame, text: str, vector: list[float], k: int = 10, metric: str = "l2", attrs: DataFrame | None = None, wanted=None, tokenizer: Callable[[Column], Column] = bigrams) -> DataFrame:
-    """Both searches over a pool of ``max(k, 10)``, each filtered first, fused."""
-    pool = max(k, 10)
-    spark = index.sparkSession
-    words = bm25(index, spark.createDataFrame([(0, text)], "query_id int, query string"), None, tokenizer)
-    words = top(restrict(words.drop("rank"), attrs, wanted), pool, F.desc("score"))
-    near = vector_scan(restrict(embeddings, attrs, wanted), vector, pool, metric)
-    return rrf([words, near], k)
+def over_pool(k: int) -> int:
+    """How many hits of each search are fused or filtered for ``k`` results."""
+    return max(k, 10)
 
 
 def join_spans(ranked: DataFrame, spans: DataFrame) -> DataFrame:

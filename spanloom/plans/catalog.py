@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions import ids
-from spanloom.operators import evals, fold, graph, search, views
+from spanloom import evalkit
+from spanloom.functions import ids, scalars
+from spanloom.functions.tokenize import bigrams
+from spanloom.operators import evals, fold, graph, nearest, search, views
 from spanloom.operators.fold import TraceQuery
+from spanloom.operators.textindex import TextIndex, hybrid
 from spanloom.plans.oracle import ORACLE, QUERIES_, VALUES, WINDOW
 from spanloom.sources import fixtures as fx
 from spanloom.sources import otlp, wire
@@ -182,6 +185,22 @@ def agent_graph_edges(spark, d):
     return graph.agent_graph_edges(_spans(spark, d))
 
 
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    """A trace for every thousand events, each span the child of the one before."""
+    return spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id div 1000 as trace_id", "event_id % 1000 as span_id", "case when event_id % 1000 > 0 then event_id % 1000 - 1 end as parent_span_id")
+
+
+@query
+def chain_dfs(spark, d):
+    """Preorder of deep chains."""
+    return graph.trace_dfs(_chain(spark, d))
+
+
+@query
+def chain_depth(spark, d):
+    return graph.trace_depth(_chain(spark, d))
+
+
 @query
 def event_ids(spark, d):
     ev = fold.dedup(fx.span_events(spark, d), ORDER)
@@ -193,8 +212,23 @@ def filter_attrs(spark, d):
     return views.filter_attrs(_spans(spark, d), fx.span_events(spark, d))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(fx.documents(spark, d))
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of the documents, built by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(spark, scratch(spark, "text")).add(fx.documents(spark, d), one_row_each=True)
+    return _INDEXES[key]
+
+
+@query
+def bm25_index(spark, d):
+    """Documents and tokens of a new index, made in two batches and compacted."""
+    docs = fx.documents(spark, d)
+    index = TextIndex(spark, scratch(spark, "text")).add(docs.filter("span_id < 5"), one_row_each=True).add(docs.filter("span_id >= 5"), one_row_each=True).compact()
+    return index.lengths().agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")).withColumns({"known_n": F.lit(index.n), "known_total": F.lit(index.total)})
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -203,90 +237,153 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 @query
 def bm25_terms(spark, d):
-    return _index(spark, d).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, d).postings().groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query
 def bm25_search(spark, d):
-    return search.bm25(_index(spark, d), _asked(spark))
+    return _index(spark, d).search(_asked(spark))
 
 
 @query
 def bm25_search_filtered(spark, d):
-    found = search.bm25(_index(spark, d), _asked(spark), None).drop("rank")
-    return search.top(search.restrict(found, fx.documents(spark, d), search.SearchFilter(tenant_id=1, status=0)), 10, F.desc("score"))
+    return search.top(search.restrict(_index(spark, d).scores(_asked(spark)), fx.documents(spark, d), search.SearchFilter(tenant_id=1, status=0)), 10, F.desc("score"))
 
 
 @query
 def bm25_search_overfetch(spark, d):
-    found = search.bm25(_index(spark, d), _asked(spark), 50).drop("rank")
+    found = _index(spark, d).search(_asked(spark), 50).drop("rank")
     return search.top(search.restrict(found, fx.documents(spark, d), search.SearchFilter(tenant_id=1)), 10, F.desc("score"))
 
 
+@query
+def bm25_similar(spark, d):
+    """Every hundredth document as a query, whole, against all."""
+    asked = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 100 = 0").selectExpr("doc_id as query_id", "text as query")
+    return _index(spark, d).search(asked, 5)
+
+
 @query
 def contains_search(spark, d):
     return search.contains_search(fx.documents(spark, d), "License Apache")
 
 
-def _vector(spark: SparkSession, d: str) -> list[float]:
-    return list(fx.embeddings(spark, d).filter("vec_id = 7").first()["embedding"])
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of vector search: every hundredth vector."""
+    return fx.embeddings(spark, d).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query
 def vector_l2(spark, d):
-    return search.vector_scan(fx.embeddings(spark, d), _vector(spark, d))
+    return nearest.vector_batch(fx.embeddings(spark, d), _vectors(spark, d))
 
 
 @query
 def vector_cosine(spark, d):
-    return search.vector_scan(fx.embeddings(spark, d), _vector(spark, d), metric="cosine")
+    return nearest.vector_batch(fx.embeddings(spark, d), _vectors(spark, d), metric="cosine")
 
 
 @query
 def vector_ip(spark, d):
-    return search.vector_scan(fx.embeddings(spark, d), _vector(spark, d), metric="ip")
+    return nearest.vector_batch(fx.embeddings(spark, d), _vectors(spark, d), metric="ip")
 
 
 @query
 def vector_batch(spark, d):
+    """Every vector as a query."""
     e = fx.embeddings(spark, d)
-    return search.vector_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
+    return nearest.vector_batch(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
+
+
+@query
+def vector_ann(spark, d):
+    """Approximate: the nearest lists of an inverted file over all vectors."""
+    index = nearest.VectorIndex.build(fx.embeddings(spark, d), scratch(spark, "vectors"))
+    return index.search(_vectors(spark, d))
 
 
 @query
 def vector_filtered(spark, d):
-    return search.vector_scan(fx.embeddings(spark, d).filter("label = 3"), _vector(spark, d))
+    return nearest.vector_batch(fx.embeddings(spark, d).filter("label = 3"), _vectors(spark, d))
 
 
 @query
 def vector_postfilter(spark, d):
+    """The filter after the pool, which loses hits where the filter is selective."""
     e = fx.embeddings(spark, d)
-    best = search.vector_scan(e, _vector(spark, d), 32).drop("rank").join(e.select("trace_id", "span_id", "label"), ["trace_id", "span_id"])
+    best = nearest.vector_batch(e, _vectors(spark, d), 32).drop("rank").join(e.select("trace_id", "span_id", "label"), ["trace_id", "span_id"])
     return search.top(best.filter("label = 3").drop("label"), 10, F.asc("distance"))
 
 
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector with one of the texts in turn."""
+    n = F.pmod(F.call_function("div", F.col("query_id"), F.lit(100)), F.lit(len(QUERIES_))) + 1
+    return _vectors(spark, d).withColumn("n", n).join(_asked(spark).select(F.col("query_id").alias("n"), "query"), "n").drop("n")
+
+
 @query
 def rrf_fuse(spark, d):
-    words = search.bm25(_index(spark, d), _asked(spark).filter("query_id = 1")).withColumn("query_id", F.lit(0))
-    return search.rrf([words, search.vector_scan(fx.embeddings(spark, d), _vector(spark, d))])
+    asked = _both(spark, d)
+    return search.rrf([_index(spark, d).search(asked.select("query_id", "query")), nearest.vector_batch(fx.embeddings(spark, d), asked)])
 
 
 @query
 def hybrid_search(spark, d):
-    return search.hybrid(_index(spark, d), fx.embeddings(spark, d), QUERIES_[0][1], _vector(spark, d))
+    return hybrid(_index(spark, d), fx.embeddings(spark, d), _both(spark, d))
 
 
 @query
 def hybrid_search_filtered(spark, d):
-    return search.hybrid(_index(spark, d), fx.embeddings(spark, d), QUERIES_[0][1], _vector(spark, d), attrs=fx.documents(spark, d), wanted=search.SearchFilter(tenant_id=2))
+    return hybrid(_index(spark, d), fx.embeddings(spark, d), _both(spark, d), attrs=fx.documents(spark, d), wanted=search.SearchFilter(tenant_id=2))
 
 
 @query
 def search_joined(spark, d):
-    found = search.join_spans(search.bm25(_index(spark, d), _asked(spark)), fx.documents(spark, d))
+    found = search.join_spans(_index(spark, d).search(_asked(spark)), fx.documents(spark, d))
     return found.select("query_id", "rank", "score", "agent_name", "status", "trace_id", "span_id")
 
 
+def _searchable(spark: SparkSession, d: str) -> TraceStore:
+    """Events in three segments, indexed one after the other, with a vector for some spans."""
+    store = TraceStore(spark, scratch(spark, "store"))
+    ev = fx.span_events(spark, d)
+    for n in range(3):
+        store.append(ev.filter(F.pmod("src_row", F.lit(3)) == n), order=ORDER)
+        store.index_text()
+    store.index_embedding(fx.embeddings(spark, d).select("trace_id", "span_id", "embedding"))
+    return store
+
+
+EVENT_QUERIES = [(1, "ask purchase"), (2, "done error agent3"), (3, "tool1 model"), (4, "signup signup")]
+
+
+@query
+def event_search(spark, d):
+    found = _searchable(spark, d).search(spark.createDataFrame(EVENT_QUERIES, "query_id int, query string"))
+    return found.select("query_id", "rank", "score", "trace_id", "span_id", "agent_name", "event_count")
+
+
+@query
+def event_search_filtered(spark, d):
+    wanted = search.SearchFilter(tenant_id=1, time_from=WINDOW[0], time_to=WINDOW[1])
+    found = _searchable(spark, d).search(spark.createDataFrame(EVENT_QUERIES, "query_id int, query string"), wanted=wanted)
+    return found.select("query_id", "rank", "score", "trace_id", "span_id")
+
+
+@query
+def event_search_similar(spark, d):
+    """Vector search over a store's spans; vectors of spans that it doesn't show are no hits."""
+    found = _searchable(spark, d).search(_vectors(spark, d), wanted=search.SearchFilter(status=0))
+    return found.select("query_id", "rank", "distance", "trace_id", "span_id")
+
+
+@query
+def event_search_hybrid(spark, d):
+    asked = _vectors(spark, d).join(spark.createDataFrame([(1, EVENT_QUERIES[0][1])], "n int, query string"))
+    found = _searchable(spark, d).search(asked.select("query_id", "query", "vector"), wanted=search.SearchFilter(tenant_id=2))
+    return found.select("query_id", "rank", "score", "trace_id", "span_id")
+
+
 BAD = ["error", "signup"]
 
 
@@ -357,6 +454,101 @@ def compaction_equivalence(spark, d):
     return views.list_traces(store.spans())
 
 
+@query
+def store_window(spark, d):
+    """Segments outside the window are not read; the rest is asked of rows."""
+    store = TraceStore(spark, scratch(spark, "store"))
+    ev = fx.span_events(spark, d)
+    for low, high in ((0, WINDOW[0]), (WINDOW[0], WINDOW[1] + 1), (WINDOW[1] + 1, 1 << 62)):
+        store.append(ev.filter((F.col("ts") >= low) & (F.col("ts") < high)), order=ORDER)
+    asked = TraceQuery(time_from=WINDOW[0], time_to=WINDOW[1])
+    return _flat(store.spans(asked)).withColumn("segments", F.lit(len(store.segments(asked))))
+
+
+@query
+def store_history(spark, d):
+    """A pinned version and the last one, after deletion, late patches, flush, compaction, vacuum and a restored backup."""
+    store = _stored(spark, d)
+    pinned = store.manifest()["version"]
+    store.delete(store.events().filter("(trace_id * 30 + span_id * 3 + seq - 1) % 13 = 0").select("segment_id", "row_idx"))
+    store.upgrade(fx.patches(spark, d).drop("segment_id", "patch_seq").groupBy("trace_id", "span_id").agg(F.max("eval_score").cast("int").alias("eval_score")))
+    store.flush()
+    store.compact()
+    store.vacuum(pinned=[pinned])
+    copy = scratch(spark, "backup")
+    store.backup(copy)
+    last = TraceStore(spark, copy).spans()
+    total = lambda spans, name: spans.groupBy("trace_id").agg(F.lit(name).alias("version"), F.count("*").alias("spans"), F.sum("event_count").alias("events"), F.sum("eval_score").cast("bigint").alias("eval_score"))
+    return total(store.spans(version=pinned), "pinned").union(total(last, "last"))
+
+
+@query
+def store_replay(spark, d):
+    """The rows that came after the first append."""
+    store = _stored(spark, d)
+    first = store.manifest()["segments"][0]["lsn"]
+    return store.replay(first).groupBy("lsn").agg(F.count("*").alias("events")).withColumn("lsn", F.col("lsn") - first)
+
+
+@query
+def eval_store(spark, d):
+    """Scores written back through a store, and read as its spans' values."""
+    store = _stored(spark, d)
+    store.evaluate(evals.keyword_scorer(BAD))
+    return store.spans().filter("eval_score is not null").select("trace_id", "span_id", "eval_score", "eval_label")
+
+
+@query
+def dataset_store(spark, d):
+    """Datasets kept by a store: collected twice, scored by a stricter scorer."""
+    store = _stored(spark, d)
+    for _ in range(2):
+        store.collect("fine", "status = 0")
+    return evals.eval_dataset(store.datasets(), "fine", evals.keyword_scorer(["error", "click"]))
+
+
+@query
+def streamed_sessions(spark, d):
+    """Running session totals, kept as state of a stream over event files; the view after the last batch."""
+    folder = scratch(spark, "sessions")
+    fx.span_events(spark, d).drop("src_row").repartition(4).write.parquet(f"{folder}/in")
+    totals = ingest.session_totals(ingest.event_stream(spark, f"{folder}/in", 1), "1000 days")
+    view = ingest.SessionView(spark, f"{folder}/view")
+    totals.writeStream.outputMode("update").foreachBatch(view.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return view.read()
+
+
+@query
+def wire_tenant(spark, d):
+    """The caller's tenant instead of what the events say."""
+    ev = wire.parse_wire(wire.to_wire(fx.span_events(spark, d).drop("src_row")), tenant_id=77, override_tenant=True)
+    return ev.groupBy("tenant_id").agg(F.count("*").alias("events"))
+
+
+@query
+def tokens_cjk(spark, d):
+    """Han runs in pairs, others in lower case, side by side."""
+    text = F.concat(F.lit("反洗钱"), F.col("source"), F.lit(" 规则ABC卡9"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(bigrams(text), "|").alias("tokens"))
+
+
+@query
+def scalars_of_events(spark, d):
+    ev = fx.span_events(spark, d).dropDuplicates(["src_row"])
+    return ev.select("src_row", scalars.rfc3339(F.col("ts")).alias("at"), ids.event_type_name(F.col("event_type")).alias("type"), ids.event_type_tag(ids.event_type_name(F.col("event_type")), F.col("event_type")).alias("tag"), ids.derive_seq(F.col("ts"), F.encode("ext_span_id", "utf-8")).alias("derived"), scalars.clamp_score(F.col("src_row")).alias("clamped"), F.crc32(F.encode("ext_span_id", "utf-8")).alias("crc"))
+
+
+@query
+def harness(spark, d):
+    """Generated scenarios, scored through a store: what was made to fail fails."""
+    return evalkit.run_harness(TraceStore(spark, scratch(spark, "store")), 200)
+
+
+@query
+def session_harness(spark, d):
+    return evalkit.run_session_harness(TraceStore(spark, scratch(spark, "store")), 500)
+
+
 @query
 def streamed_traces(spark, d):
     """The events as wire JSON files, through a stream into a store."""
@@ -383,4 +575,20 @@ def otlp_parse(spark, d):
     return _flat(fold.spans(otlp.parse_otlp(ev.select(body.alias("body"))), ["ts"]))
 
 
+@query
+def otlp_forms(spark, d):
+    """Spans whose texts stand in span events or messages, with every status, numbers as text and whole doubles, names in snake case."""
+    ev = fx.span_events(spark, d).filter("event_type = 1").dropDuplicates(["ext_span_id"])
+    s = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue"), F.lit(None).cast("string").alias("intValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value"))
+    i = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), v.cast("string").alias("intValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value"))
+    f = lambda k, v: F.struct(F.lit(k).alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue"), v.cast("double").alias("doubleValue")).alias("value"))
+    messages = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("first "), "model").alias("content")), F.struct(F.lit("user").alias("role"), F.lit("second").alias("content"))))
+    attributes = F.array(s("gen_ai.response.model", F.col("model")), s("llm.model_name", F.lit("not this one")), i("gen_ai.usage.prompt_tokens", F.col("span_id")), f("llm.token_count.completion", F.col("trace_id")), s("agent.name", F.col("agent_name")), s("tool.name", F.col("tool_name")), s("input.value", messages), s("session.id", F.concat(F.lit("s"), F.pmod("trace_id", F.lit(5)).cast("string"))))
+    said = F.array(F.struct(F.lit("gen_ai.choice").alias("name"), F.array(s("content", F.concat(F.lit("said "), "ext_span_id"))).alias("attributes")), F.struct(F.lit("gen_ai.user.message").alias("name"), F.array(s("content", F.lit("not used"))).alias("attributes")))
+    status = F.struct(F.pmod("span_id", F.lit(3)).alias("code"))
+    span = F.struct(F.lpad(F.hex("trace_id"), 32, "0").alias("trace_id"), F.lpad(F.hex(F.col("trace_id") * 10 + F.col("span_id") + 1), 16, "0").alias("span_id"), F.lpad(F.hex(F.col("trace_id") * 10 + 1), 16, "0").alias("parent_span_id"), F.lit("step").alias("name"), F.col("ts").cast("string").alias("start_time_unix_nano"), (F.col("ts") - 10 + F.col("span_id") * 5).cast("string").alias("end_time_unix_nano"), status.alias("status"), attributes.alias("attributes"), said.alias("events"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(span).alias("spans"))).alias("scope_spans"))).alias("resource_spans")))
+    return _flat(fold.spans(otlp.parse_otlp(ev.select(body.alias("body")), tenant_id=9), ["ts", "seq"]))
+
+
 ORACLE["otlp_parse"] = ORACLE["fold_spans"].split("\nSELECT")[0] + "\nSELECT trace_id, trace_id * 10 + span_id AS span_id, 1 AS status, 5000::BIGINT AS duration_ns, NULL::BIGINT AS parent_span_id, NULL::BIGINT AS input_tokens, NULL::BIGINT AS output_tokens, session_id, NULL::BIGINT AS tenant_id, NULL::VARCHAR AS agent_name, NULL::VARCHAR AS tool_name, model, NULL::VARCHAR AS input_text, NULL::VARCHAR AS output_text, input_text AS logs, 2 AS event_count FROM once WHERE event_type = 1"

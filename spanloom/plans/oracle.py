@@ -55,12 +55,12 @@ def ranked(source: str, by: str, k: int, where: str = "true") -> str:
     return f"SELECT query_id, trace_id, span_id, {by.split()[0]}, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by}, trace_id, span_id) AS rank FROM {source} WHERE {where}) WHERE rank <= {k}"
 
 
-def vectors(metric: str, name: str = "vd", query: int = 7) -> str:
+def vectors(metric: str, name: str = "vd", queries: str = "vec_id % 100 = 0") -> str:
     a, b = ("list_transform(e.embedding, lambda x: x::DOUBLE)", "list_transform(v.embedding, lambda x: x::DOUBLE)")
     if metric == "cosine":
         a, b = (f"list_transform({x}, lambda y: y / sqrt(list_dot_product({x}, {x})))" for x in (a, b))
     d = f"-list_dot_product({a}, {b})" if metric == "ip" else f"list_distance({a}, {b})"
-    return f"{name} AS (SELECT 0 AS query_id, e.vec_id // 10 AS trace_id, e.vec_id % 10 AS span_id, round({d}, 6) AS distance, e.label FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {query}) v)"
+    return f"{name} AS (SELECT v.vec_id AS query_id, e.vec_id // 10 AS trace_id, e.vec_id % 10 AS span_id, round({d}, 6) AS distance, e.label FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE {queries}) v)"
 
 
 PATCHED = """pm AS (SELECT event_id // 30 AS trace_id, (event_id % 30) // 3 AS span_id, arg_max(CASE WHEN event_type = 'purchase' THEN 2 END, event_id) FILTER (event_type = 'purchase') AS p_status, arg_max(CAST(round(value * 100) AS BIGINT) % 1001, event_id) AS eval_score, arg_max('lbl-' || event_type, event_id) AS eval_label FROM events WHERE event_id % 11 = 0 GROUP BY ALL)"""
@@ -79,7 +79,32 @@ TOMBS = "kept AS (SELECT * FROM ev WHERE src_row % 13 <> 0)"
 WINDOW = (1_704_088_800_000_000_000, 1_704_412_800_000_000_000)
 IN_WINDOW = f"ts BETWEEN {WINDOW[0]} AND {WINDOW[1]}"
 RRF = f"rk AS ({ranked('wx', 'score DESC', 10)}), rv AS ({ranked('vd', 'distance', 10)}), fu AS (SELECT query_id, trace_id, span_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, trace_id, span_id, rank FROM rk UNION ALL SELECT query_id, trace_id, span_id, rank FROM rv) GROUP BY ALL)"
-ONE = "wx AS (SELECT 0 AS query_id, trace_id, span_id, score FROM sc WHERE query_id = 1)"
+#: Every hundredth vector asks one of the texts in turn.
+TEXTS = f"tx AS (SELECT vec_id AS asked, vec_id // 100 % {len(QUERIES_)} + 1 AS n FROM embeddings WHERE vec_id % 100 = 0)"
+ONE = f"{TEXTS}, wx AS (SELECT asked AS query_id, trace_id, span_id, score FROM sc JOIN tx ON sc.query_id = n)"
+EVENT_TOKENS = r"""tk AS (SELECT trace_id, span_id, unnest(regexp_extract_all(lower(concat_ws(' ', input_text, output_text, agent_name, tool_name, model, log_line)), '[\p{L}\p{N}]+')) AS token FROM once),
+ix AS (SELECT token, trace_id, span_id, count(*) AS tf FROM tk GROUP BY ALL),
+st AS (SELECT trace_id, span_id, sum(tf) AS doc_len FROM ix GROUP BY ALL),
+co AS (SELECT count(*) AS n, sum(doc_len) / count(*) AS avgdl FROM st)"""
+EVENT_QUERIES = [(1, "ask purchase"), (2, "done error agent3"), (3, "tool1 model"), (4, "signup signup")]
+TIMES = "fa AS (SELECT trace_id, span_id, min(ts) AS min_ts, max(ts) AS max_ts FROM ev GROUP BY ALL)"
+#: FNV-1a of a list of bytes, as the signed number of the same bits.
+FNV = "(CASE WHEN {h} >= 9223372036854775808 THEN ({h}::HUGEINT - 18446744073709551616)::BIGINT ELSE {h}::BIGINT END)"
+
+
+def fnv(octets: str) -> str:
+    return f"list_reduce(list_prepend(14695981039346656037::UBIGINT, {octets}), lambda h, b: ((xor(h, b)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT)"
+
+
+def le8(x: str) -> str:
+    return f"list_transform(range(8), lambda i: (({x} >> (8 * i)::INT) & 255)::UBIGINT)"
+
+
+ASCII = "list_transform(string_split(ext_span_id, ''), lambda c: ascii(c)::UBIGINT)"
+
+
+def asked(queries: list[tuple[int, str]]) -> str:
+    return ASKED.split(",\nqt AS", 1)[0].split("(VALUES")[0] + "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in queries) + "),\nqt AS" + ASKED.split(",\nqt AS", 1)[1]
 
 ORACLE = {
     "fold_spans": q(SPANS),
@@ -125,7 +150,7 @@ ORACLE = {
     "vector_postfilter": q(ranked(f"(SELECT p.*, e.label FROM ({ranked('vd', 'distance', 32)}) p JOIN embeddings e ON e.vec_id = p.trace_id * 10 + p.span_id)".replace("p.*", "p.query_id, p.trace_id, p.span_id, p.distance"), "distance", 10, "label = 3"), vectors("l2")),
     "rrf_fuse": q(ranked("fu", "score DESC", 10), f"{POSTINGS}, {ASKED}, {ONE}, {vectors('l2')}, {RRF}"),
     "hybrid_search": q(ranked("fu", "score DESC", 10), f"{POSTINGS}, {ASKED}, {ONE}, {vectors('l2')}, {RRF}"),
-    "hybrid_search_filtered": q(ranked("fu", "score DESC", 10), f"{POSTINGS}, {ASKED}, wx AS (SELECT 0 AS query_id, trace_id, span_id, score FROM sc JOIN dd USING (trace_id, span_id) WHERE query_id = 1 AND tenant_id = 2), {vectors('l2', 'va')}, vd AS (SELECT va.* FROM va JOIN dd USING (trace_id, span_id) WHERE tenant_id = 2), {RRF}"),
+    "hybrid_search_filtered": q(ranked("fu", "score DESC", 10), f"{POSTINGS}, {ASKED}, {TEXTS}, wx AS (SELECT asked AS query_id, trace_id, span_id, score FROM sc JOIN dd USING (trace_id, span_id) JOIN tx ON sc.query_id = n WHERE tenant_id = 2), {vectors('l2', 'va')}, vd AS (SELECT va.* FROM va JOIN dd USING (trace_id, span_id) WHERE tenant_id = 2), {RRF}"),
     "search_joined": q(f"SELECT r.query_id, r.rank, r.score, d.agent_name, d.status, r.trace_id, r.span_id FROM ({ranked('sc', 'score DESC', 10)}) r JOIN dd d USING (trace_id, span_id)", f"{POSTINGS}, {ASKED}"),
     "eval_keyword": q("SELECT * FROM sc", f"{folded()}, {KEYWORDS}"),
     "eval_summary": summary("WITH sc AS (SELECT d.source AS agent_name, l.quality * 1000 AS eval_score FROM labels l JOIN documents d USING (doc_id))"),
@@ -138,4 +163,28 @@ ORACLE = {
     "stored_traces": q(TRACES.format(where="")),
     "streamed_traces": q(TRACES.format(where="")),
     "wire_roundtrip": q("SELECT trace_id, span_id, seq, event_type::SMALLINT AS event_type, ext_span_id, status::SMALLINT AS status, duration_ns, input_tokens, model, input_text, log_line AS logs FROM ev"),
+    "bm25_index": q("SELECT count(*) AS n, sum(doc_len)::BIGINT AS total, count(*) AS known_n, sum(doc_len)::BIGINT AS known_total FROM st", POSTINGS),
+    "bm25_similar": q(ranked("sc", "score DESC", 5), f"{POSTINGS}, qs AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0), qt AS{ASKED.split('qt AS', 1)[1]}"),
+    "event_search": q(f"SELECT query_id, rank, score, trace_id, span_id, agent_name, event_count FROM ({ranked('sc', 'score DESC', 10)}) JOIN sp USING (trace_id, span_id)", f"{folded()}, {EVENT_TOKENS}, {asked(EVENT_QUERIES)}"),
+    "event_search_filtered": q(f"SELECT query_id, rank, score, trace_id, span_id FROM ({ranked(f'(SELECT sc.* FROM sc JOIN sp USING (trace_id, span_id) JOIN fa USING (trace_id, span_id) WHERE tenant_id = 1 AND max_ts >= {WINDOW[0]} AND min_ts <= {WINDOW[1]})', 'score DESC', 10)})", f"{folded()}, {TIMES}, {EVENT_TOKENS}, {asked(EVENT_QUERIES)}"),
+    "event_search_similar": q(f"SELECT query_id, rank, distance, trace_id, span_id FROM ({ranked('(SELECT vd.* FROM vd JOIN sp USING (trace_id, span_id) WHERE status = 0)', 'distance', 10)})", f"{folded()}, {vectors('l2')}"),
+    "event_search_hybrid": q(f"SELECT query_id, rank, score, trace_id, span_id FROM ({ranked('fu', 'score DESC', 10)})", f"{folded()}, {EVENT_TOKENS}, {asked(EVENT_QUERIES)}, wx AS (SELECT e.vec_id AS query_id, trace_id, span_id, score FROM sc JOIN sp USING (trace_id, span_id), (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) e WHERE query_id = 1 AND tenant_id = 2), {vectors('l2', 'va')}, vd AS (SELECT va.* FROM va JOIN sp USING (trace_id, span_id) WHERE tenant_id = 2), {RRF}"),
+    "chain_dfs": "WITH RECURSIVE sp AS (SELECT event_id // 1000 AS trace_id, event_id % 1000 AS span_id, CASE WHEN event_id % 1000 > 0 THEN event_id % 1000 - 1 END AS parent_span_id FROM events), pa AS (SELECT trace_id, span_id, 0::BIGINT AS visit FROM sp WHERE parent_span_id IS NULL UNION ALL SELECT s.trace_id, s.span_id, p.visit + 1 FROM pa p JOIN sp s ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id) SELECT trace_id, span_id, visit FROM pa",
+    "chain_depth": "SELECT event_id // 1000 AS trace_id, event_id % 1000 AS span_id, least(event_id % 1000, 65)::INT AS depth FROM events",
+    "store_window": q(f"SELECT *, 1 AS segments FROM ({SPANS})", where=IN_WINDOW),
+    "store_history": q("SELECT trace_id, 'pinned' AS version, count(*) AS spans, sum(event_count)::BIGINT AS events, NULL::BIGINT AS eval_score FROM sp GROUP BY trace_id UNION ALL SELECT trace_id, 'last', count(*), sum(n)::BIGINT, sum(eval_score)::BIGINT FROM (SELECT trace_id, span_id, count(*) AS n FROM once WHERE src_row % 13 <> 0 GROUP BY ALL) LEFT JOIN (SELECT event_id // 30 AS trace_id, (event_id % 30) // 3 AS span_id, max(CAST(round(value * 100) AS BIGINT) % 1001) AS eval_score FROM events WHERE event_id % 11 = 0 GROUP BY ALL) USING (trace_id, span_id) GROUP BY trace_id"),
+    "store_replay": q("SELECT trace_id % 3 AS lsn, count(*) AS events FROM ev WHERE trace_id % 3 > 0 GROUP BY ALL"),
+    "eval_store": q("SELECT trace_id, span_id, eval_score, eval_label FROM sc", f"{folded()}, {KEYWORDS}"),
+    "streamed_sessions": q("SELECT session_id, count(*) AS events, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, count(*) FILTER (coalesce(status, 0) <> 0) AS errors FROM once GROUP BY session_id", EVENTS),
+    "wire_tenant": q("SELECT 77::BIGINT AS tenant_id, count(*) AS events FROM ev", EVENTS),
+    "tokens_cjk": r"SELECT doc_id, '反洗|洗钱|' || CASE WHEN source IS NULL THEN '' ELSE array_to_string(regexp_extract_all(lower(source), '[\p{L}\p{N}]+'), '|') || '|' END || '规则|abc|卡|9' AS tokens FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, '' FROM documents WHERE source IS NULL",
+    "scalars_of_events": q(f"SELECT src_row, strftime(make_timestamp(ts // 1000000 * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at, CASE event_type WHEN 1 THEN 'start' WHEN 4 THEN 'log' ELSE 'end' END AS type, event_type::SMALLINT AS tag, {FNV.format(h='h')} AS derived, least(src_row, 1000)::INT AS clamped, crc FROM (SELECT *, {fnv(f'list_concat({le8(chr(116) + chr(115))}, {ASCII})')} AS h, CRC_OF AS crc FROM once)", EVENTS),
+    "event_ids": q(f"SELECT ext_span_id, seq, event_type::SMALLINT AS event_type, {FNV.format(h='h')} AS event_id FROM (SELECT *, {fnv(f'list_concat({ASCII}, {le8(chr(115) + chr(101) + chr(113))}, [event_type::UBIGINT])')} AS h FROM once)", EVENTS),
+    "otlp_forms": q("SELECT trace_id, trace_id * 10 + span_id + 1 AS span_id, CASE span_id % 3 WHEN 2 THEN 1 WHEN 1 THEN 0 END AS status, greatest(span_id * 5 - 10, 0) AS duration_ns, trace_id * 10 + 1 AS parent_span_id, span_id AS input_tokens, trace_id AS output_tokens, SESSION_OF AS session_id, 9::BIGINT AS tenant_id, agent_name, tool_name, model, 'first ' || model || chr(10) || 'second' AS input_text, 'said ' || ext_span_id AS output_text, 'step' AS logs, 2 AS event_count FROM once WHERE event_type = 1", EVENTS),
 }
+ORACLE["dataset_store"] = ORACLE["eval_dataset_stricter"]
+#: IEEE CRC-32 of ASCII text, bit by bit.
+_CRC = f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {ASCII}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)))::BIGINT"
+ORACLE["scalars_of_events"] = ORACLE["scalars_of_events"].replace("CRC_OF", _CRC)
+_SESSION = fnv("list_transform(string_split('s' || (trace_id % 5)::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)")
+ORACLE["otlp_forms"] = ORACLE["otlp_forms"].replace("SESSION_OF", FNV.format(h=_SESSION))

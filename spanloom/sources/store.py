@@ -13,25 +13,30 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import fold, views
+from spanloom.functions.tokenize import bigrams
+from spanloom.operators import evals, fold, search, views
 from spanloom.operators.fold import TraceQuery
+from spanloom.operators.nearest import VectorIndex, vector_batch
 from spanloom.operators.search import latest_embeddings
-from spanloom.sources.files import Files, scratch
-from spanloom.sources.schema import EMBEDDINGS, EVENTS, PATCHES, STORED, TOMBSTONES
+from spanloom.operators.textindex import TextIndex, hybrid
+from spanloom.sources.files import Files, scratch, written
+from spanloom.sources.schema import DATASETS, EMBEDDINGS, EVENTS, PATCHES, STORED, TOMBSTONES
 
 __all__ = ["FORMAT", "FormatError", "TraceStore", "scratch"]
 
 FORMAT = 2
 ORDER = ["segment_id", "row_idx"]
-EMPTY = {"version": 0, "format": FORMAT, "segments": [], "patches": [], "tombstones": [], "embeddings": [], "next_segment": 1, "next_seq": 1, "batches": {}}
+EMPTY = {"version": 0, "format": FORMAT, "segments": [], "patches": [], "tombstones": [], "embeddings": [], "datasets": [], "text": None, "vectors": None, "next_segment": 1, "next_seq": 1, "batches": {}}
+#: Rows of live segments from which an append seals them.
+FLUSH_ROWS = 1_000_000
 
 
 def folders(manifest: dict) -> list[str]:
     """All that a version names."""
-    return [*(s["folder"] for s in manifest["segments"]), *(f for kind in ("patches", "tombstones", "embeddings") for f, _ in manifest[kind])]
+    return [*(s["folder"] for s in manifest["segments"]), *(f for kind in ("patches", "tombstones", "embeddings") for f, _ in manifest[kind]), *manifest["datasets"], *(manifest["text"]["folders"] if manifest["text"] else []), *([manifest["vectors"]] if manifest["vectors"] else [])]
 
 
 class FormatError(RuntimeError):
@@ -39,8 +44,9 @@ class FormatError(RuntimeError):
 
 
 class TraceStore:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, flush_rows: int = FLUSH_ROWS):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+        self.flush_rows = flush_rows
         self.check_format()
 
     # versions
@@ -87,8 +93,10 @@ class TraceStore:
         raise RuntimeError("other writers kept committing")
 
     def _write(self, df: DataFrame, kind: str) -> str:
+        """A folder of rows. Segments have a Bloom filter of their traces, so a read of few traces skips the others' row groups."""
         folder = f"{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
+        out = df.write.option("parquet.bloom.filter.enabled#trace_id", "true") if kind == "segments" else df.write
+        out.parquet(f"{self.path}/{folder}")
         return folder
 
     def _read(self, numbered: list[list], schema, number: str) -> DataFrame:
@@ -111,11 +119,21 @@ class TraceStore:
         row = F.col(order[0]).cast("bigint") if order and len(order) == 1 else F.monotonically_increasing_id()
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS]
         folder = self._write(events.select(*columns, row.alias("row_idx")), "segments")
-        return self._add_segment(folder, level, batch)
+        version = self._add_segment(folder, level, batch)
+        live = [x for x in self.manifest()["segments"] if x["state"] == "live"]
+        return self.flush() if len(live) > 1 and sum(x["rows"] for x in live) >= self.flush_rows else version
+
+    def flush(self) -> int:
+        """Seals the live tail: all live segments become one. Rows keep their order; what is deleted stays deleted."""
+        return self._merge([x["id"] for x in self.manifest()["segments"] if x["state"] == "live"])
+
+    def replay(self, after: int = 0) -> DataFrame:
+        """The rows of the segments that were appended after a log number, in the order of their appends; ``lsn`` is that number."""
+        return self._stored([x for x in self.manifest()["segments"] if x["lsn"] > after])
 
     def _zone(self, folder: str) -> dict:
         low, high, rows = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.min("ts"), F.max("ts"), F.count("*")).first()
-        return {"folder": folder, "min_ts": low, "max_ts": high, "rows": rows, "state": "live"}
+        return {"folder": folder, "min_ts": low, "max_ts": high, "rows": rows}
 
     def _add_segment(self, folder: str, level: int, batch: tuple[str, int] | None = None, instead: list[int] | None = None, expect: int | None = None) -> int:
         zone = self._zone(folder)
@@ -128,11 +146,14 @@ class TraceStore:
             if expect is not None and m["version"] != expect:
                 raise InterruptedError
             if zone["rows"]:
-                m["segments"].append({"id": m["next_segment"], "level": level, **zone})
+                m["segments"].append({"id": m["next_segment"], "level": level, "state": "live" if instead is None else "sealed", "lsn": m["next_seq"], **zone})
                 m["next_segment"] += 1
+                m["next_seq"] += 1
             if instead is not None:
+                if m["text"] and set(instead) <= set(m["text"]["segments"]):
+                    m["text"]["segments"] = [*(x for x in m["text"]["segments"] if x not in instead), m["next_segment"] - 1]
                 m["segments"] = [s for s in m["segments"] if s["id"] not in instead]
-                m["tombstones"] = []
+                m["tombstones"] = m["tombstones"] if m["segments"][:-1] else []
             return m
 
         return self._commit(change)
@@ -168,16 +189,16 @@ class TraceStore:
         schema = [f.name for f in STORED if f.name not in ("segment_id", "lsn")]
         read = self.spark.read.schema(STORED)
         df = read.parquet(*(f"{self.path}/{s['folder']}" for s in segments)).select(*schema, F.regexp_extract(F.col("_metadata.file_path"), "segments/([0-9a-f]{32})/", 1).alias("_folder"))
-        ids = F.create_map(*(x for s in segments for x in (F.lit(s["folder"].split("/")[1]), F.lit(s["id"]).cast("bigint"))))
-        return df.withColumn("segment_id", ids[F.col("_folder")]).drop("_folder")
+        numbers = lambda n: F.create_map(*(x for s in segments for x in (F.lit(s["folder"].split("/")[1]), F.lit(s[n]).cast("bigint"))))[F.col("_folder")]
+        return df.withColumns({"segment_id": numbers("id"), "lsn": numbers("lsn")}).drop("_folder")
 
     def events(self, query: TraceQuery = TraceQuery(), version: int | None = None) -> DataFrame:
         """Live stored events with their places."""
-        m = self.manifest(version)
-        out = query.events(self._stored(self.segments(query, version)))
-        if m["tombstones"]:
-            out = fold.drop_tombstones(out, self._read(m["tombstones"], TOMBSTONES, "deletion_seq"), ORDER)
-        return out
+        return query.events(self._live(self.manifest(version), self.segments(query, version)))
+
+    def _live(self, m: dict, segments: list[dict]) -> DataFrame:
+        out = self._stored(segments)
+        return fold.drop_tombstones(out, self._read(m["tombstones"], TOMBSTONES, "deletion_seq"), ORDER) if m["tombstones"] else out
 
     def spans(self, query: TraceQuery = TraceQuery(), version: int | None = None, keys: DataFrame | None = None, scope: str = "global", window_mode: str = "events") -> DataFrame:
         m = self.manifest(version)
@@ -188,22 +209,108 @@ class TraceStore:
     def embeddings(self, version: int | None = None) -> DataFrame:
         return latest_embeddings(self._read(self.manifest(version)["embeddings"], EMBEDDINGS, "lsn"))
 
+    # search
+
+    def text_index(self, version: int | None = None, tokenizer: Callable[[Column], Column] = bigrams) -> TextIndex:
+        known = self.manifest(version)["text"]
+        return TextIndex(self.spark, self.path, *((known[c] for c in ("folders", "n", "total", "whole")) if known else ()), tokenizer=tokenizer)
+
+    def index_text(self, compact: bool = False, tokenizer: Callable[[Column], Column] = bigrams) -> int:
+        """Adds the segments that aren't indexed yet to the text index, without events that an indexed segment has already."""
+        m = self.manifest()
+        done = m["text"]["segments"] if m["text"] else []
+        fresh = [x for x in m["segments"] if x["id"] not in done]
+        index = self.text_index(m["version"], tokenizer)
+        if fresh:
+            events = fold.dedup(self._live(m, fresh), ORDER, "global")
+            if done:
+                events = events.join(self._stored([x for x in m["segments"] if x["id"] in done]).select(*fold.EVENT), fold.EVENT, "left_anti")
+            index = index.add(search.search_text(events))
+        if compact and not index.whole:
+            index = index.compact()
+
+        def change(now: dict) -> dict | None:
+            if now["text"] != m["text"]:
+                raise RuntimeError("another writer indexed meanwhile")
+            ids = [*done, *(x["id"] for x in fresh if x["id"] in {y["id"] for y in now["segments"]})]
+            return now | {"text": {"folders": index.folders, "n": index.n, "total": index.total, "whole": index.whole, "segments": ids}}
+
+        return self._commit(change)
+
+    def index_vectors(self, lists: int = 64, metric: str = "l2") -> int:
+        """An inverted file over the last vector of each span, for approximate search."""
+        folder = f"vectors/{uuid.uuid4().hex}"
+        VectorIndex.build(self.embeddings(), f"{self.path}/{folder}", lists, metric)
+        return self._commit(lambda m: m | {"vectors": folder})
+
+    def vector_index(self, version: int | None = None) -> VectorIndex | None:
+        folder = self.manifest(version)["vectors"]
+        return VectorIndex(self.spark, f"{self.path}/{folder}") if folder else None
+
+    def attributes(self, version: int | None = None) -> DataFrame:
+        """What filters ask of spans."""
+        return views.filter_attrs(self.spans(version=version), self.events(version=version))
+
+    def search(self, queries: DataFrame, k: int = 10, wanted: search.SearchFilter | Column | str | None = None, metric: str = "l2", version: int | None = None) -> DataFrame:
+        """Text search, vector search or both, as the columns of ``queries`` (query_id; query, vector) say; hits in the snapshot only, with their spans, in rank order.
+
+        A filter is asked before the ranking, so it costs no hits.
+        """
+        asked = set(queries.columns) & {"query", "vector"}
+        if not asked:
+            raise ValueError("queries need a column query, vector, or both")
+        attrs = self.attributes(version) if wanted is not None else None
+        if asked == {"query"}:
+            found = search.top(search.restrict(self.text_index(version).scores(queries), attrs, wanted), k, F.desc("score"))
+        elif asked == {"vector"}:
+            found = vector_batch(search.restrict(self.embeddings(version), attrs, wanted), queries, k, metric)
+        else:
+            found = hybrid(self.text_index(version), self.embeddings(version), queries, k, metric, attrs, wanted)
+        found = written(found, "hits")
+        return search.join_spans(found, self.spans(version=version, keys=found))
+
+    # evaluation
+
+    def evaluate(self, scorer: evals.Scorer, query: TraceQuery = TraceQuery()) -> int:
+        """Scores the spans of a query and writes the scores back as late patches of the segments that hold the spans."""
+        m = self.manifest()
+        homes = self._stored(self.segments(query, m["version"])).select("trace_id", "span_id", "segment_id")
+        return self.upgrade(evals.writeback(self.spans(query, m["version"]), scorer, homes))
+
+    def collect(self, name: str, condition: Column | str, query: TraceQuery = TraceQuery(), expected: Column | None = None) -> int:
+        """Freezes the matching spans that the dataset doesn't hold yet; a dataset begins with its first collection."""
+        m = self.manifest()
+        folder = self._write(evals.collect_examples(name, self.spans(query, m["version"]), condition, self.datasets(m["version"]), expected), "datasets")
+        return self._commit(lambda now: now | {"datasets": [*now["datasets"], folder]})
+
+    def datasets(self, version: int | None = None) -> DataFrame:
+        """All frozen examples; of a span that two writers froze at once the first."""
+        own = self.manifest(version)["datasets"]
+        if not own:
+            return self.spark.createDataFrame([], DATASETS)
+        return self.spark.read.schema(DATASETS).parquet(*(f"{self.path}/{f}" for f in own)).dropDuplicates(["name", "trace_id", "span_id"])
+
     # maintenance
 
-    def compact(self, tries: int = 5) -> int:
-        """All live rows into one segment of the next level; patches stay. Starts again if the store changes meanwhile."""
+    def _merge(self, segments: list[int], tries: int = 5) -> int:
+        """The live rows of some segments as one of the next level; patches stay. Starts again if the store changes meanwhile."""
         for _ in range(tries):
             m = self.manifest()
-            if len(m["segments"]) < 2 and not m["tombstones"]:
+            own = [x for x in m["segments"] if x["id"] in segments]
+            if not own or (len(own) < 2 and not m["tombstones"] and own[0]["state"] == "sealed"):
                 return m["version"]
-            rows = self.events(version=m["version"]).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("row_idx", F.monotonically_increasing_id())
+            rows = self._live(m, own).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("row_idx", F.monotonically_increasing_id())
             folder = self._write(rows.select(*EVENTS.names, "row_idx"), "segments")
             try:
-                return self._add_segment(folder, 1 + max(s["level"] for s in m["segments"]), instead=[s["id"] for s in m["segments"]], expect=m["version"])
+                return self._add_segment(folder, 1 + max(x["level"] for x in own), instead=[x["id"] for x in own], expect=m["version"])
             except InterruptedError:
                 self.files.delete(folder)
         raise RuntimeError("the store kept changing")
 
+    def compact(self, tries: int = 5) -> int:
+        """All live rows into one segment of the next level."""
+        return self._merge([x["id"] for x in self.manifest()["segments"]], tries)
+
     def vacuum(self, retain: int = 1, pinned: list[int] = ()) -> list[str]:
         """Deletes rows that none of the last ``retain`` versions and the pinned ones names, and the older manifests."""
         versions = self.versions()
@@ -212,7 +319,7 @@ class TraceStore:
         for v in keep:
             m = self.manifest(v)
             named |= set(folders(m))
-        gone = [f"{kind}/{n}" for kind in ("segments", "patches", "tombstones", "embeddings") for n in self.files.names(kind) if f"{kind}/{n}" not in named]
+        gone = [f"{kind}/{n}" for kind in ("segments", "patches", "tombstones", "embeddings", "datasets", "postings", "vectors") for n in self.files.names(kind) if f"{kind}/{n}" not in named]
         for folder in gone:
             self.files.delete(folder)
         for v in versions:
@@ -229,8 +336,18 @@ class TraceStore:
         return m["version"]
 
     def metrics(self) -> dict[str, int]:
-        m = self.manifest()
-        return {"version": m["version"], "segments": len(m["segments"]), "rows": sum(s["rows"] for s in m["segments"]), "max_level": max((s["level"] for s in m["segments"]), default=0), "patch_batches": len(m["patches"]), "tombstone_batches": len(m["tombstones"]), "embedding_batches": len(m["embeddings"]), "retained_versions": len(self.versions()), "next_segment": m["next_segment"]}
-
-    def summary(self) -> DataFrame:
-        return views.list_traces(self.spans())
+        """Numbers of the last version, without a scan."""
+        m, named = self.manifest(), set()
+        for v in self.versions():
+            named |= set(folders(self.manifest(v)))
+        live = [x for x in m["segments"] if x["state"] == "live"]
+        return {
+            "manifest_version": m["version"], "format_version": m["format"], "segments": len(m["segments"]), "segments_live": len(live), "live_rows": sum(x["rows"] for x in live), "rows": sum(x["rows"] for x in m["segments"]),
+            "segments_dead": sum(f"segments/{n}" not in set(folders(m)) for n in self.files.names("segments")), "folders_unreferenced": sum(f"segments/{n}" not in named for n in self.files.names("segments")),
+            "retained_versions": len(self.versions()), "committed_tail": m["next_seq"] - 1, "flush_threshold": self.flush_rows, "max_level": max((x["level"] for x in m["segments"]), default=0),
+            "patch_batches": len(m["patches"]), "tombstone_batches": len(m["tombstones"]), "embedding_batches": len(m["embeddings"]), "dataset_batches": len(m["datasets"]), "text_batches": len(m["text"]["folders"]) if m["text"] else 0, "text_documents": m["text"]["n"] if m["text"] else 0, "next_segment": m["next_segment"],
+        }
+
+    def prometheus(self) -> str:
+        """The metrics in the text format of Prometheus."""
+        return "".join(f"# TYPE spanloom_{k} {'counter' if k == 'committed_tail' else 'gauge'}\nspanloom_{k} {v}\n" for k, v in self.metrics().items())

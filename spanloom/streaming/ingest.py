@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import event_id
+from spanloom.sources.files import Files
 from spanloom.sources.otlp import parse_otlp
 from spanloom.sources.schema import EVENTS
 from spanloom.sources.store import TraceStore
@@ -59,3 +60,36 @@ def session_totals(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def activity(events: DataFrame, width: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
     """Events, failures and tokens by tumbling window of event time."""
     return deduplicated(events, delay).groupBy(F.window("event_time", width)).agg(F.count("*").alias("events"), F.count_if(F.coalesce(F.col("status"), F.lit(0)) != 0).alias("errors"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "events", "errors", "input_tokens")
+
+
+class SessionView:
+    """Session totals kept beside a stream in update mode: a micro-batch's changed rows replace the old ones.
+
+    Each batch writes a folder of its own and the view reads the last row of each session, so a batch that is run again
+    after a failure replaces itself. ``compact`` keeps one folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = "session_id bigint, events bigint, input_tokens bigint, output_tokens bigint, errors bigint, batch bigint"
+
+    def merge(self, changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/b{batch:012d}")
+
+    def read(self) -> DataFrame:
+        names = Files(self.spark, self.path).names("")
+        if not names:
+            return self.spark.createDataFrame([], self.schema).drop("batch")
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{n}" for n in names))
+        values = ["events", "input_tokens", "output_tokens", "errors"]
+        return rows.groupBy("session_id").agg(F.max_by(F.struct(*values), "batch").alias("v")).select("session_id", "v.*")
+
+    def compact(self) -> None:
+        """One folder instead of all so far, for a stream that is stopped. It repeats the last batch's number, so reads are right at any moment."""
+        files = Files(self.spark, self.path)
+        names = files.names("")
+        if len(names) > 1:
+            self.read().withColumn("batch", F.lit(int(names[-1][1:13])).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/{names[-1][:13]}-all")
+            for n in names:
+                if n != f"{names[-1][:13]}-all":
+                    files.delete(n)
