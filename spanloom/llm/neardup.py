@@ -3,18 +3,16 @@
 A document is the set of its word trigrams. One hash of each trigram gives both a bin (of ``BINS``) and a value; the least
 value of a bin is a MinHash. An empty bin copies a full one that a hash of (bin, attempt) picks, which keeps the chance of
 agreement at the Jaccard similarity. ``ROWS`` bins make a band; documents that agree in a band share a bucket. A bucket of
-n documents gives n - 1 edges, each to its first document, not n (n - 1) / 2 pairs. Edges whose signatures agree in less
+n documents gives n - 1 edges, each to its document of least hash, not n (n - 1) / 2 pairs. Two alike documents share many
+buckets, so they are linked unless all of those have hubs that are unlike them. Edges whose signatures agree in less
 than ``SIMILARITY`` of the bins go; connected components of the rest are the groups.
 
-Members of a bucket whose hub is too unlike them form the bucket's next star, with a hub of their own, until each has
-been compared with a hub that it resembles or is a hub: buckets of chance meetings lose no link for it.
-
 A document is a (doc_id, text): rows that repeat both are one document, different texts of one doc_id are different ones.
 
 Results for odd input: a document without words or with a null text is in no group; a null doc_id is an id like any other,
 before all others; an empty table gives no groups; extra columns are ignored by ``near_duplicates`` and kept by
-``drop_near_duplicates``, which keeps one row of a document's repeated ones, that of the least hash of all columns. The first document of a group, by doc_id and
-then by the hash of the text, names it and stays.
+``drop_near_duplicates``, which keeps one row of a document's repeated ones, that of the least hash of all columns. The first
+document of a group, by doc_id and then by the hash of the text, names it and stays.
 """
 
 from __future__ import annotations
@@ -32,8 +30,6 @@ ROWS = 4
 SHINGLE = 3
 SIMILARITY = 0.45
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: A document's identity: its id, which orders documents, and the hash of id and text.
-ID = "struct<d: bigint, h: bigint>"
 
 
 def densify(sig: np.ndarray) -> np.ndarray:
@@ -75,7 +71,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sign(batches):
     for b in batches:
-        for first, sig in signatures(b.column(1)):
+        for first, sig in signatures(b.column(2)):
             some = np.flatnonzero(sig[:, 0] != EMPTY)
             if not len(some):
                 continue
@@ -83,37 +79,40 @@ def _sign(batches):
             keys = band_keys(sig)
             small = (sig & U(0xFF)).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + some)), bands, pa.array([x.tobytes() for x in small], pa.binary())], ["id", "bands", "sig"])
+            own = pa.array(first + some)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), bands, pa.array([x.tobytes() for x in small], pa.binary())], ["id", "doc_id", "bands", "sig"])
 
 
 def _agree(batches):
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, BINS), np.uint8) for c in (2, 3))
         share = (x == y).mean(1) if b.num_rows else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((share - 1 / 256) / (1 - 1 / 256) >= SIMILARITY)], ["u", "v", "alike"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array((share - 1 / 256) / (1 - 1 / 256) >= SIMILARITY))
 
 
 def _identity():
-    return F.struct(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("doc_id", "text").alias("h"))
+    """A document: the hash of id and text."""
+    return F.xxhash64("doc_id", "text")
+
 
+def sign(docs: DataFrame) -> DataFrame:
+    """id, doc_id, bands, sig of every document with a word, once."""
+    own = docs.filter(F.col("text").isNotNull()).select(_identity().alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    signed = materialise(own.mapInArrow(_sign, "id long, doc_id long, bands array<long>, sig binary"), "signatures")
+    again = materialise(signed.groupBy("id").count().filter("count > 1").select("id"), "again")
+    if again.isEmpty():
+        return signed
+    return materialise(signed.join(again, "id", "left_anti").union(signed.join(again, "id", "left_semi").select(signed.columns).dropDuplicates(["id"])), "signatures")
 
-def edges(docs: DataFrame) -> DataFrame:
-    """Verified edges (u, v), u < v; u is the hub of a star."""
-    own = docs.filter(F.col("text").isNotNull()).select(_identity().alias("id"), "text")
-    signed = materialise(own.mapInArrow(_sign, f"id {ID}, bands array<long>, sig binary").dropDuplicates(["id"]), "signatures")
+
+def edges(signed: DataFrame) -> DataFrame:
+    """Verified edges (u, v), u < v; u is the hub of a bucket."""
+    banded = signed.select("id", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("last")).filter("u < last").select("band", "u")
+    pairs = materialise(banded.join(hubs, "band").filter("u < id").select("u", F.col("id").alias("v")).distinct(), "candidates")
     sig = signed.select("id", "sig")
-    banded, out = signed.select("id", F.explode("bands").alias("band")), None
-    while True:
-        hubs = banded.groupBy("band").agg(F.min("id").alias("u"), F.max("id").alias("last")).filter("u < last").select("band", "u")
-        stars = materialise(banded.join(hubs, "band").filter("u < id").select("band", "u", F.col("id").alias("v")), "stars")
-        both = stars.select("u", "v").distinct().join(sig.select(F.col("id").alias("u"), F.col("sig").alias("x")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("y")), "v")
-        judged = materialise(both.select("u", "v", "x", "y").mapInArrow(_agree, f"u {ID}, v {ID}, alike boolean"), "candidates")
-        found = judged.filter("alike").select("u", "v")
-        out = found if out is None else out.union(found)
-        unlike = judged.filter("not alike").select("u", "v")
-        if unlike.isEmpty():
-            return out.distinct()
-        banded = stars.join(unlike, ["u", "v"], "left_semi").select(F.col("v").alias("id"), "band")
+    both = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("x")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("y")), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(_agree, "u long, v long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -137,22 +136,27 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The verified edges, and (id, root) of every document that has one."""
-    linked = materialise(edges(docs), "links")
-    return linked, components(linked)
+    """The verified edges, and id, doc_id, first and group_id of every document that has one: the first of its group by doc_id, nulls before others, then by hash."""
+    signed = sign(docs)
+    linked = materialise(edges(signed), "links")
+    found = materialise(components(linked).join(signed.select("id", "doc_id"), "id"), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    return linked, found.join(first, "root").select("id", "doc_id", F.col("first.id").alias("first"), F.col("first.doc_id").alias("group_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, group_id (the doc_id of the group's first document) and n_links (verified edges) of every document that has a near copy."""
     linked, found = _grouped(docs)
     ends = linked.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    return found.join(ends, "id").select(F.col("id.d").alias("doc_id"), F.col("root.d").alias("group_id"), "n_links")
+    return found.join(ends, "id").select("doc_id", "group_id", "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without those of a group that aren't its first. Only rows that repeat a document are shuffled with their texts."""
     keyed = docs.withColumn("__ll_id", _identity())
-    gone = materialise(_grouped(docs)[1].filter("id <> root").select(F.col("id").alias("__ll_id")), "copies")
+    gone = materialise(_grouped(docs)[1].filter("id <> first").select(F.col("id").alias("__ll_id")), "copies")
     again = materialise(keyed.groupBy("__ll_id").count().filter("count > 1").select("__ll_id").join(gone, "__ll_id", "left_anti"), "repeats")
     once = keyed.join(gone.union(again), "__ll_id", "left_anti")
+    if again.isEmpty():
+        return once.select(*docs.columns)
     return once.union(one_each(keyed.join(again, "__ll_id", "left_semi"), ["__ll_id"], docs.columns).select(once.columns)).select(*docs.columns)

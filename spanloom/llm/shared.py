@@ -5,28 +5,33 @@ Internal columns are named ``__ll_*`` so that extra input columns of any ordinar
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import Files, scratch
+
 P = "__ll_"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``. A temporary one is set only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+#: Paths made by ``scratch_path`` and not deleted yet, by application.
+_made: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, f"llm-{name}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes all tables that the operators wrote so far but the one that ``keep`` reads. For the end of a step whose result is written."""
+    own = _made.get(spark.sparkContext.applicationId, [])
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()} if keep is not None else set()
+    for path in [p for p in own if p.rsplit("/", 1)[-1] not in read]:
+        folder, _, name = path.rpartition("/")
+        Files(spark, folder).delete(name)
+        own.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
