@@ -142,7 +142,7 @@ class VectorIndex:
         Files(spark, path).publish("about.json", json.dumps({"centroids": centroids.tolist(), "metric": metric}))
         return cls(spark, path)
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 16) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 40) -> DataFrame:
         """The nearest ``k`` of each row of queries (query_id, vector) among its ``probes`` nearest lists."""
         asked = queries.filter(F.size("vector") == self.centroids.shape[1]).select("query_id", "vector", F.explode(_nearest(self.centroids, probes, self.metric)("vector")).alias("list"))
         return _meet(self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/lists"), blocks(asked, "query_id", "", "vector", "list"), k, self.metric, True)

@@ -67,13 +67,24 @@ class Files:
         self._hadoop.FileUtil.copy(self._fs, self._path(path), other, target, False, self._conf)
 
 
+#: Temporary folders of applications that name none.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one of the application where that is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+    return _OWN[own]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/spanloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -84,7 +95,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all that ``scratch`` folders of this checkpoint folder hold. For the end of a job: results still to be read need them."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        Files(spark, base).delete("spanloom")
+    """Deletes all that ``scratch`` paths of the shared folder hold. For the end of a job: results still to be read need them."""
+    Files(spark, shared_folder(spark)).delete("spanloom")
