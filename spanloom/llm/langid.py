@@ -26,7 +26,7 @@ LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Documents of the training sample, by the hash of their ids, and windows of each at hashed places.
+#: Documents of the training sample, by the hash of their ids, and windows of each, evenly spaced.
 TRAIN_DOCS, TRAIN_WINDOWS = 4_000, 4
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 BLOCK = 512

@@ -30,6 +30,8 @@ MIN_CHARS = 20
 MIN_COUNT = 2
 SHARD_BYTES = 256 << 20
 PROBES = 1_000_000
+#: Text for one task where texts are shuffled, if the session's number of partitions would give it more.
+TASK_BYTES = 64 << 20
 GAMMA = 2
 BLANKS = " \t\r"
 
@@ -169,6 +171,9 @@ def mark(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHARS
     again = materialise(keyed.groupBy(*key).count().filter("count > 1").select(*key), "line-repeats")
     if not again.isEmpty():
         keyed = keyed.join(again, key, "left_anti").select(keyed.columns).union(one_each(keyed.join(again, key, "left_semi"), key, docs.columns).select(keyed.columns))
+    tasks = -(-size // TASK_BYTES)
+    if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        keyed = keyed.repartition(tasks, *key)
     return keyed.join(drops, key, "left")
 
 

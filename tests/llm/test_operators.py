@@ -43,6 +43,7 @@ def test_perfect_hash_is_minimal_and_survives_a_dump():
 
 def test_lines_many_shards_and_hot_line(spark, monkeypatch):
     monkeypatch.setattr(lines, "PROBES", 50)
+    monkeypatch.setattr(lines, "TASK_BYTES", 1000)
     hot = "this line is in every single document"
     docs = make(spark, [f"{hot}\nown line of the document number {i}\n{hot}\nshort" for i in range(200)])
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs, shard_bytes=2000).collect()}
@@ -255,9 +256,33 @@ def test_language_held_out(spark):
     assert hits / len(pairs) >= 0.95
 
 
+def test_language_query_on_held_out_documents(spark):
+    """``identify`` itself: documents of hidden language are told by those whose language is known."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("doc_id is not null")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    found = langid.identify(hidden).select("doc_id", "lang_found", "confidence", "n_windows").distinct()
+    truth = docs.filter("doc_id % 2 = 1 and length(text) > 100 and lang is not null").select("doc_id", "lang", F.ceil(F.octet_length("text") / langid.LENGTH).alias("n")).distinct()
+    rows = truth.join(found, "doc_id").collect()
+    assert sum(r.lang == r.lang_found for r in rows) >= 0.95 * len(rows)
+    assert all(r.n == r.n_windows and 0.25 <= r.confidence <= 1 for r in rows)
+
+
 # 6
 
 
+def test_rollup_query_against_a_recount(spark, sf):
+    docs, toxic = table(spark, sf, "documents").collect(), {r.doc_id for r in table(spark, sf, "labels").filter("toxic = 1").collect()}
+    want = defaultdict(lambda: [0, 0])
+    for r in docs:
+        if r.doc_id not in toxic:
+            text = re.sub(queries.MARKS, "", r.text or "")
+            for name, path in tokencounts.TOKENIZERS.items():
+                want[r.source, r.lang, name][0] += 1
+                want[r.source, r.lang, name][1] += len(tokencounts.encoder(path).encode_ordinary(text)) if text else 0
+    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in queries.op6_token_rollups(spark, sf).collect()}
+    assert got == {k: v for k, v in want.items() if v != [0, 0]} and any(re.search(queries.MARKS, r.text or "") for r in docs)
+
+
 def test_rollups_are_idempotent_and_equal_a_recount(spark, sf, tmp_path):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     store = tokencounts.RollupStore(spark, f"file://{tmp_path}/rollups")
@@ -294,6 +319,30 @@ def test_shuffle_is_a_permutation_that_doesnt_depend_on_the_order_read(spark, sf
     assert read(docs.orderBy(F.desc("doc_id")).repartition(5)) == got
 
 
+def test_shards_against_plain_python(spark, sf):
+    """Buckets by hash, order by hash, then swaps drawn by splitmix64, written out one by one."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    size = sum(len((r.text or "").encode()) + 64 for r in docs.collect())
+    seed, buckets, mask = 5, -(-size // 60_000), (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    keyed = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("h2")).collect()
+    want = {}
+    for b in range(buckets):
+        own = [r.doc_id for r in sorted((r for r in keyed if ((r.h & mask) >> 20) % buckets == b), key=lambda r: (r.h, r.h2))]
+        start = mix(seed ^ mix(b + 1))
+        for n, i in enumerate(range(len(own) - 1, 0, -1), 1):
+            j = int((mix(start + n * 0x9E3779B97F4A7C15 & mask) >> 11) * 2.0**-53 * (i + 1))
+            own[i], own[j] = own[j], own[i]
+        want |= {(b, k): d for k, d in enumerate(own)}
+    got = {(r.shard_id, r.shard_pos): r.doc_id for r in sharding.shuffle(docs, 60_000, seed).collect()}
+    assert got == want
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, 1, b)) for b in range(6000))
     assert len(seen) == 6 and all(800 < n < 1200 for n in seen.values())
