@@ -53,8 +53,8 @@ def render(value: Column) -> Column:
 def parse_unsigned(text: Column) -> Column:
     """BIGINT bit pattern of a decimal string (a sign is allowed); null where it isn't one that fits 64 bits."""
     wide = text.try_cast("decimal(20,0)")
-    unsigned = F.conv(text, 10, -10).try_cast("bigint")
-    return F.when(~text.rlike(r"^-?\d{1,20}$") | wide.isNull() | (wide > F.lit("18446744073709551615").cast("decimal(20,0)")), None).when(text.startswith("-"), text.try_cast("bigint")).otherwise(unsigned)
+    long = F.when(wide.isNull() | (wide > F.lit("18446744073709551615").cast("decimal(20,0)")), None).when(text.startswith("-"), text.try_cast("bigint")).otherwise(F.conv(text, 10, -10).try_cast("bigint"))
+    return F.when(text.rlike(r"^-?\d{1,18}$"), text.cast("bigint")).when(text.rlike(r"^-?\d{19,20}$"), long)
 
 
 def hex_low(text: Column) -> Column:

@@ -14,7 +14,8 @@ from spanloom.operators.textindex import TextIndex, hybrid
 from spanloom.plans.oracle import ORACLE, QUERIES_, VALUES, WINDOW
 from spanloom.sources import fixtures as fx
 from spanloom.sources import otlp, wire
-from spanloom.sources.store import TraceStore, scratch
+from spanloom.sources.files import scratch, written
+from spanloom.sources.store import TraceStore
 from spanloom.streaming import ingest
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -28,8 +29,25 @@ def query(f):
     return f
 
 
+_EVENTS: dict[tuple, DataFrame] = {}
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a columnar table, ingested by the first query of a session that asks for them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _EVENTS:
+        _EVENTS[key] = written(fx.span_events(spark, d).repartition("trace_id", "span_id"), "events")
+    return _EVENTS[key]
+
+
 def _spans(spark: SparkSession, d: str, **kw) -> DataFrame:
-    return fold.spans(fx.span_events(spark, d), ORDER, **kw)
+    return fold.spans(_events(spark, d), ORDER, **kw)
+
+
+@query
+def ingested_events(spark, d):
+    """Events by type, of the table that the other queries read."""
+    return _events(spark, d).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
 def _flat(spans: DataFrame) -> DataFrame:
@@ -43,7 +61,7 @@ def fold_spans(spark, d):
 
 @query
 def fold_dedup_retransmit(spark, d):
-    ev = fx.span_events(spark, d)
+    ev = _events(spark, d)
     kept = fold.dedup(ev, ORDER, "global").agg(F.count("*").alias("kept"), F.countDistinct("trace_id", "span_id").alias("spans"))
     return ev.agg(F.count("*").alias("sent")).crossJoin(kept)
 
@@ -86,7 +104,7 @@ def fold_candidates(spark, d):
 
 @query
 def merge_spans(spark, d):
-    right = fold.fold(fx.span_events(spark, d).filter("event_type = 4"), ORDER).select("trace_id", "span_id", "status", "input_tokens")
+    right = fold.fold(_events(spark, d).filter("event_type = 4"), ORDER).select("trace_id", "span_id", "status", "input_tokens")
     return fold.merge_spans(_spans(spark, d).select("trace_id", "span_id", "status", "input_tokens"), right)
 
 
@@ -203,13 +221,13 @@ def chain_depth(spark, d):
 
 @query
 def event_ids(spark, d):
-    ev = fold.dedup(fx.span_events(spark, d), ORDER)
+    ev = fold.dedup(_events(spark, d), ORDER)
     return ev.select("ext_span_id", "seq", "event_type", ids.event_id(F.col("ext_span_id"), F.col("seq"), F.col("event_type")).alias("event_id"))
 
 
 @query
 def filter_attrs(spark, d):
-    return views.filter_attrs(_spans(spark, d), fx.span_events(spark, d))
+    return views.filter_attrs(_spans(spark, d), _events(spark, d))
 
 
 _INDEXES: dict[tuple, TextIndex] = {}
@@ -346,7 +364,7 @@ def search_joined(spark, d):
 def _searchable(spark: SparkSession, d: str) -> TraceStore:
     """Events in three segments, indexed one after the other, with a vector for some spans."""
     store = TraceStore(spark, scratch(spark, "store"))
-    ev = fx.span_events(spark, d)
+    ev = _events(spark, d)
     for n in range(3):
         store.append(ev.filter(F.pmod("src_row", F.lit(3)) == n), order=ORDER)
         store.index_text()
@@ -433,7 +451,7 @@ def session_eval(spark, d):
 def _stored(spark: SparkSession, d: str, parts: int = 3) -> TraceStore:
     """A store with the events in ``parts`` segments."""
     store = TraceStore(spark, scratch(spark, "store"))
-    ev = fx.span_events(spark, d)
+    ev = _events(spark, d)
     for n in range(parts):
         store.append(ev.filter(F.pmod("trace_id", F.lit(parts)) == n), order=ORDER)
     return store
@@ -458,7 +476,7 @@ def compaction_equivalence(spark, d):
 def store_window(spark, d):
     """Segments outside the window are not read; the rest is asked of rows."""
     store = TraceStore(spark, scratch(spark, "store"))
-    ev = fx.span_events(spark, d)
+    ev = _events(spark, d)
     for low, high in ((0, WINDOW[0]), (WINDOW[0], WINDOW[1] + 1), (WINDOW[1] + 1, 1 << 62)):
         store.append(ev.filter((F.col("ts") >= low) & (F.col("ts") < high)), order=ORDER)
     asked = TraceQuery(time_from=WINDOW[0], time_to=WINDOW[1])
@@ -511,7 +529,7 @@ def dataset_store(spark, d):
 def streamed_sessions(spark, d):
     """Running session totals, kept as state of a stream over event files; the view after the last batch."""
     folder = scratch(spark, "sessions")
-    fx.span_events(spark, d).drop("src_row").repartition(4).write.parquet(f"{folder}/in")
+    _events(spark, d).drop("src_row").repartition(4).write.parquet(f"{folder}/in")
     totals = ingest.session_totals(ingest.event_stream(spark, f"{folder}/in", 1), "1000 days")
     view = ingest.SessionView(spark, f"{folder}/view")
     totals.writeStream.outputMode("update").foreachBatch(view.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -521,7 +539,7 @@ def streamed_sessions(spark, d):
 @query
 def wire_tenant(spark, d):
     """The caller's tenant instead of what the events say."""
-    ev = wire.parse_wire(wire.to_wire(fx.span_events(spark, d).drop("src_row")), tenant_id=77, override_tenant=True)
+    ev = wire.parse_wire(wire.to_wire(_events(spark, d).drop("src_row")), tenant_id=77, override_tenant=True)
     return ev.groupBy("tenant_id").agg(F.count("*").alias("events"))
 
 
@@ -553,7 +571,7 @@ def session_harness(spark, d):
 def streamed_traces(spark, d):
     """The events as wire JSON files, through a stream into a store."""
     folder = scratch(spark, "stream")
-    wire.to_wire(fx.span_events(spark, d).drop("src_row")).write.text(f"{folder}/in")
+    wire.to_wire(_events(spark, d).drop("src_row")).write.text(f"{folder}/in")
     store = TraceStore(spark, f"{folder}/store")
     ingest.run(ingest.wire_stream(spark, f"{folder}/in"), store, f"{folder}/checkpoint")
     return views.list_traces(store.spans())
@@ -561,7 +579,7 @@ def streamed_traces(spark, d):
 
 @query
 def wire_roundtrip(spark, d):
-    ev = wire.parse_wire(wire.to_wire(fx.span_events(spark, d).drop("src_row")))
+    ev = wire.parse_wire(wire.to_wire(_events(spark, d).drop("src_row")))
     return ev.select("trace_id", "span_id", "seq", "event_type", "ext_span_id", "status", "duration_ns", "input_tokens", "model", "input_text", F.array_join("logs", "|").alias("logs"))
 
 

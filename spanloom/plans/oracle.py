@@ -163,6 +163,7 @@ ORACLE = {
     "stored_traces": q(TRACES.format(where="")),
     "streamed_traces": q(TRACES.format(where="")),
     "wire_roundtrip": q("SELECT trace_id, span_id, seq, event_type::SMALLINT AS event_type, ext_span_id, status::SMALLINT AS status, duration_ns, input_tokens, model, input_text, log_line AS logs FROM ev"),
+    "ingested_events": q("SELECT event_type::SMALLINT AS event_type, count(*) AS events FROM ev GROUP BY ALL", EVENTS),
     "bm25_index": q("SELECT count(*) AS n, sum(doc_len)::BIGINT AS total, count(*) AS known_n, sum(doc_len)::BIGINT AS known_total FROM st", POSTINGS),
     "bm25_similar": q(ranked("sc", "score DESC", 5), f"{POSTINGS}, qs AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0), qt AS{ASKED.split('qt AS', 1)[1]}"),
     "event_search": q(f"SELECT query_id, rank, score, trace_id, span_id, agent_name, event_count FROM ({ranked('sc', 'score DESC', 10)}) JOIN sp USING (trace_id, span_id)", f"{folded()}, {EVENT_TOKENS}, {asked(EVENT_QUERIES)}"),

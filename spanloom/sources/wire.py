@@ -15,18 +15,14 @@ _TEXT = ("ext_span_id", "agent_name", "tool_name", "model", "input_text", "outpu
 _SCORES = {"eval_score": "int", "eval_label": "string"}
 
 
-def _field(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$.{name}", "variant")
-
-
 def _text(item: Column, name: str) -> Column:
     """A string value; null for another type."""
-    return F.when(F.schema_of_variant(_field(item, name)) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
+    return F.when(F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant")) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
 
 
 def _integer(item: Column, name: str) -> Column:
-    """A number or a numeric string, up to the unsigned 64-bit range, as its bit pattern."""
-    return parse_unsigned(F.when(F.schema_of_variant(_field(item, name)).rlike("^(STRING|BIGINT|DECIMAL)"), F.try_variant_get(item, f"$.{name}", "string")))
+    """A number or a numeric string, up to the unsigned 64-bit range, as its bit pattern; what else a value may be doesn't read as one."""
+    return parse_unsigned(F.try_variant_get(item, f"$.{name}", "string"))
 
 
 def _byte(value: Column) -> Column:
@@ -42,28 +38,30 @@ def parse_wire(batches: DataFrame, body: str = "body", tenant_id: int | None = N
     rest = [c for c in batches.columns if c != body]
     parsed = batches.withColumn("_v", F.try_parse_json(F.col(body)))
     is_array = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY"), F.lit(False))
-    items = F.when(is_array, F.expr("try_cast(_v as array<variant>)"))
-    rows = parsed.withColumn("_items", items)
 
-    def complete(x: Column) -> Column:
+    def event(e: Column) -> Column:
+        values: dict[str, Column] = {c: _integer(e, c) for c in _WIDE} | {c: _text(e, c) for c in _TEXT}
+        values["event_type"], values["status"] = _byte(_integer(e, "event_type")), _byte(_integer(e, "status"))
+        logs = F.try_variant_get(e, "$.logs", "variant").try_cast("array<variant>")
+        values["logs"] = F.coalesce(F.transform(F.filter(logs, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
+        if override_tenant:
+            values["tenant_id"] = F.lit(tenant_id).cast("bigint")
+        return F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS))
+
+    events = F.transform(F.when(is_array, F.expr("try_cast(_v as array<variant>)")), event)
+    # Out of a generator, so that the test and the rows below share one evaluation.
+    rows = parsed.select(*rest, F.explode(F.array(events)).alias("_events"))
+
+    def complete(e: Column) -> Column:
         ok = F.lit(True)
         for c in REQUIRED:
-            ok = ok & (_text(x, c) if c == "ext_span_id" else _integer(x, c)).isNotNull()
-        return F.coalesce(ok, F.lit(False))
+            ok = ok & e[c].isNotNull()
+        return ok
 
-    good = F.coalesce(F.forall("_items", complete), F.lit(False))
+    good = F.coalesce(F.forall("_events", complete), F.lit(False))
     if strict:
         good = F.when(good, True).otherwise(F.raise_error(F.lit("a wire batch that isn't a JSON array of complete events")).cast("boolean"))
-    rows = rows.filter(good).select(*rest, F.explode("_items").alias("_e"))
-    e = F.col("_e")
-    values: dict[str, Column] = {c: _integer(e, c) for c in _WIDE} | {c: _text(e, c) for c in _TEXT}
-    values["event_type"], values["status"] = _byte(_integer(e, "event_type")), _byte(_integer(e, "status"))
-    logs = F.expr("try_cast(try_variant_get(_e, '$.logs', 'variant') as array<variant>)")
-    values["logs"] = F.coalesce(F.transform(F.filter(logs, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
-    if override_tenant:
-        values["tenant_id"] = F.lit(tenant_id).cast("bigint")
-    out = [values[f.name].cast(f.dataType).alias(f.name) if f.name in values else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS]
-    return rows.select(*rest, *out)
+    return rows.filter(good).select(*rest, F.inline("_events"))
 
 
 def to_wire(events: DataFrame, size: int = 256) -> DataFrame:

@@ -160,6 +160,7 @@ def test_scratch_is_shared_and_cleared(spark):
     clear_scratch(spark)
     assert not files.exists("")
     catalog._INDEXES.clear()
+    catalog._EVENTS.clear()
 
 
 def test_manifest_is_json_of_its_version(spark, tmp_path):
