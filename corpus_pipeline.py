@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import decontam, lines, neardup, packing, quality
-from spanloom.llm.shared import materialise, sweep, table
+from spanloom.llm.shared import made, materialise, sweep, table
 
 #: Hashed n-gram models, MinHash components and proximity can't be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -52,10 +52,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result. What a stage wrote on the way, and its input, go when its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), made(spark)
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = materialise(docs, f"stage{n}")
-            sweep(spark, docs)
+            sweep(spark, before, docs)
     return docs
