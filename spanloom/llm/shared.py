@@ -24,14 +24,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes all tables that the operators wrote so far but the one that ``keep`` reads. For the end of a step whose result is written."""
-    own = _made.get(spark.sparkContext.applicationId, [])
-    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()} if keep is not None else set()
-    for path in [p for p in own if p.rsplit("/", 1)[-1] not in read]:
+def made(spark: SparkSession) -> set[str]:
+    """The paths of the tables that operators have written in this application and that aren't deleted yet."""
+    return set(_made.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Deletes the tables made since ``before`` but the one that ``keep`` reads. For the end of a step whose result is written."""
+    read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    for path in made(spark) - before:
         folder, _, name = path.rpartition("/")
-        Files(spark, folder).delete(name)
-        own.remove(path)
+        if name not in read:
+            Files(spark, folder).delete(name)
+            _made[spark.sparkContext.applicationId].remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

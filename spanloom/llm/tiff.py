@@ -48,24 +48,26 @@ def _codes(data: bytes):
     """Codes of 9 to 12 bits, high bit first, one code early at each width; 256 begins a table, 257 ends. Yields the codes of each table."""
     bits, at = np.unpackbits(np.frombuffer(data, np.uint8)), 0
     while True:
-        own = []
-        for width, many in ((9, 254), (10, 512), (11, 1024), (12, None)):
-            n = (len(bits) - at) // width
-            n = n if many is None else min(n, many)
-            codes = (bits[at : at + n * width].reshape(n, width).astype(np.int32) << np.arange(width - 1, -1, -1)).sum(1)
-            stop = np.flatnonzero((codes == 256) | (codes == 257))
-            if len(stop):
-                own += codes[: stop[0]].tolist()
-                at += (int(stop[0]) + 1) * width
-                yield own
-                if codes[stop[0]] == 257:
+        own, width, left = [], 9, 254
+        while True:
+            n = min((len(bits) - at) // width, left)
+            codes = (bits[at : at + n * width].reshape(n, width) @ _PLACES[width]).astype(np.int32).tolist()
+            at += n * width
+            stop = next((i for i, c in enumerate(codes) if c == 256 or c == 257), -1)
+            if stop >= 0:
+                at -= (n - stop - 1) * width
+                yield own + codes[:stop]
+                if codes[stop] == 257:
                     return
                 break
-            own += codes.tolist()
-            at += n * width
-            if n != many:
+            own += codes
+            if n < left:
                 yield own
                 return
+            width, left = min(12, width + 1), {9: 512, 10: 1024}.get(width, 2048)
+
+
+_PLACES = {w: (1 << np.arange(w - 1, -1, -1)).astype(np.float32) for w in range(9, 13)}
 
 
 def unlzw(data: bytes) -> bytes:
@@ -73,19 +75,21 @@ def unlzw(data: bytes) -> bytes:
     out = bytearray()
     for codes in _codes(data):
         place, length = [], []
+        end = len(out)
         for i, code in enumerate(codes):
-            place.append(len(out))
+            place.append(end)
             if code < 256:
                 out.append(code)
-                length.append(1)
-                continue
-            k = code - 258
-            if not 0 <= k < i:
-                raise TiffError("a bad LZW code")
-            n = length[k] + 1
-            part = out[place[k] : place[k] + n]
-            out += part if len(part) == n else part + part[:1]
+                n = 1
+            else:
+                k = code - 258
+                if not 0 <= k < i:
+                    raise TiffError("a bad LZW code")
+                n = length[k] + 1
+                part = out[place[k] : place[k] + n]
+                out += part if len(part) == n else part + part[:1]
             length.append(n)
+            end += n
     return bytes(out)
 
 
@@ -151,9 +155,12 @@ def _samples(raw: bytes, rows: int, width: int, spp: int, bits: int, fmt: int, p
     return x.astype(f"<{kind}{size}")
 
 
+_COUNTS = {256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339}
+
+
 def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
-    for t in (256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339):
-        if t in tags and not ((tags[t] or t in (273, 279, 324, 325)) and all(isinstance(x, int) and x >= 0 for x in tags[t])):
+    for t in _COUNTS & tags.keys():
+        if not (tags[t] or t in (273, 279, 324, 325)) or float in map(type, tags[t]) or min(tags[t], default=0) < 0:
             raise TiffError(f"the values of tag {t} aren't counts")
     one = lambda t, default: tags.get(t, (default,))[0]
     if 256 not in tags or 257 not in tags:
