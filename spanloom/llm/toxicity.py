@@ -4,19 +4,17 @@ Toxic seeds are the terms whose labelled documents are toxic for sure by a Wilso
 once, so copies of one document prove nothing); clean seeds are the ``CLEAN_SEEDS`` most usual terms that don't favour
 documents labelled toxic. A walk restarts at a seed in proportion to its documents. Texts are cut into passages of
 ``PASSAGE`` words; passages of the same terms count once, so copies and shared passages prove nothing either. The word
-graph joins a seed with every term that shares passages with it more often than chance (``MIN_COUNT`` passages and
-``MIN_Z`` deviations at least), weighted by their positive pointwise mutual information less log ``SHIFT``. Random walks
-with restart from the toxic and from the clean seeds go from seeds to terms and back to seeds, and give each term two
+graph joins any two terms that share passages more often than chance (``MIN_COUNT`` passages and ``MIN_Z``
+deviations at least), weighted by their positive pointwise mutual information less log ``SHIFT``. Random walks
+with restart from the toxic and from the clean seeds go over all its edges, and give each term two
 probabilities; their difference over their sum, plus ``NEUTRAL`` / V, so that terms which neither walk reaches often stay
 neutral, is its polarity. Labels outrank the walks: a term with more clean labelled documents than
 toxic uses, of those in the same words one, has no polarity above 0, and a toxic seed has ``LEXICON`` at least. A document's score is the sum of the polarities of its terms of ``LEXICON`` or more; it is toxic from
 the score on that best tells the labelled documents apart, a clean one wrongly found counting as two missed.
 
 Terms are the words of ``MIN_DOCS`` documents or more: rarer ones can't have ``MIN_COUNT`` passages of evidence worth the
-name. Pairs of two terms that are no seeds aren't counted: they are many times as many, and no walk of two steps from a
-seed back to a seed passes them. Counts of all words and all distinct passages are shuffled, so nothing depends on where
-a document is read. The vocabulary grows with the corpus; pairs travel in blocks of ``BLOCK`` terms, and the driver holds
-a few numbers a term.
+name. All pairs of terms in a passage are counted, in waves. Counts of all words and all distinct passages are shuffled, so nothing depends on where
+a document is read. The vocabulary grows with the corpus; pairs travel in cells, and the driver holds a few numbers a term.
 
 Results for odd input: null, empty or wordless text scores nothing; a null doc_id is scored but never labelled; repeated
 rows are scored alike; without labels of both kinds there are no seeds and nothing is toxic; an empty table gives an empty
@@ -25,6 +23,8 @@ result; extra columns are ignored. Equal terms are ranked by hash.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,9 +49,16 @@ MIN_COUNT, MIN_Z, SHIFT = 3, 3.0, 2.0
 RESTART = 0.15
 NEUTRAL = 2.0
 LEXICON = 0.6
-BLOCK = 256
-#: Pairs that a task holds before it passes them on, and pairs of a slice of passages.
-HELD, PAIRS = 6_000_000, 2_000_000
+#: Terms of passages that a task holds before it passes the counts of their pairs on, and edges that a step of the walks adds at once.
+HELD, PAIRS = 8_000_000, 2_000_000
+#: Uses of pairs that are summed together at least, and how many such cells there are at most, but for the most usual terms.
+CELL, CELLS = 2_000_000, 8192
+#: Uses of pairs that a wave counts at least, and waves at most: disk is bounded by a share of the pairs.
+WAVE, WAVES = 200_000_000, 12
+#: Terms whose numbers travel together.
+PART = 1 << 16
+#: What the walks may lack at a term, as a share of NEUTRAL / V, and steps of their solution at most.
+EXACT, MOST_STEPS = 1e-6, 200
 
 
 def labelled(labels: DataFrame, most: int = MAX_LABELS) -> dict[int, int]:
@@ -135,8 +142,10 @@ def wilson(hits: np.ndarray, misses: np.ndarray) -> np.ndarray:
     return np.round((share + SURE**2 / 2 / m - SURE * np.sqrt(share * (1 - share) / m + SURE**2 / 4 / m / m)) / (1 + SURE**2 / m), 9)
 
 
-ROWS = pa.schema([("block", pa.int32()), ("facts", pa.binary()), ("size", pa.int64()), ("near", pa.binary()), ("many", pa.binary())])
-ROWS_SQL = "block int, facts binary, size long, near binary, many binary"
+ROWS = pa.schema([("cell", pa.int32()), ("size", pa.int64()), ("near", pa.binary()), ("many", pa.binary())])
+ROWS_SQL = "cell int, size long, near binary, many binary"
+EDGES = pa.schema([("terms", pa.binary()), ("runs", pa.binary()), ("size", pa.int64()), ("near", pa.binary()), ("many", pa.binary())])
+EDGES_SQL = "terms binary, runs binary, size long, near binary, many binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -150,17 +159,19 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def _near_type(k: int):
-    """Holds the places of a block's pairs: of its terms times the seeds."""
-    return np.uint32 if BLOCK * k < 1 << 32 else np.uint64
+def _near_type(cells: np.ndarray, cell: int):
+    """Holds the places of a cell's pairs."""
+    return np.uint32 if cells[cell + 1] - cells[cell] <= U(1 << 32) else U
 
 
-def _blocks_of(keys: np.ndarray, n: np.ndarray, k: int):
-    """Sorted pairs (term times seeds plus seed) by block: the block, packed places and counts."""
-    block = (keys // U(BLOCK * k)).astype(np.int64)
-    for lo, hi in _runs(block):
-        near = np.diff(keys[lo:hi] - U(int(block[lo]) * BLOCK * k), prepend=U(0)).astype(_near_type(k))
-        yield int(block[lo]), hi - lo, _pack(near), _pack(np.minimum(n[lo:hi], (1 << 32) - 1).astype(np.uint32))
+def _cells(work: np.ndarray) -> np.ndarray:
+    """Bounds of ranges of pairs (first term times V plus second term) that are met about equally often; a usual term has several."""
+    v = len(work)
+    most = max(CELL, int(work.sum()) // CELLS)
+    many = np.flatnonzero(work > most)
+    cuts = [np.flatnonzero(np.diff(np.cumsum(work) // most, prepend=-1)) * v, many * v, (many + 1) * v]
+    cuts += [t * v + np.arange(k) * v // k for t, k in zip(many.tolist(), (-(-work[many] // most)).tolist())]
+    return np.unique(np.concatenate([[0, v * v], *cuts])).astype(U)
 
 
 def _runs(x: np.ndarray):
@@ -169,9 +180,34 @@ def _runs(x: np.ndarray):
     return zip(first.tolist(), [*first[1:].tolist(), len(x)])
 
 
-def _batches(rows: list[dict]):
+def _batches(rows: list[dict], schema: pa.Schema):
     for k in range(0, len(rows), 500):
-        yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=ROWS)
+        yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=schema)
+
+
+def _parts(x: np.ndarray):
+    """Rows of numbers by term, in parts."""
+    for k in range(0, x.shape[1], PART):
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x[:, k : k + PART].tobytes()], pa.binary())], ["first", "numbers"])
+
+
+def _total(parts: DataFrame, n: int, v: int, kind) -> np.ndarray:
+    """The sum of what the tasks made by ``_parts``, in an order that doesn't depend on arrival."""
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, kind) for x in sorted(rows.column("numbers").to_pylist()))
+        return pa.table({"first": rows.column("first")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((n, v), kind)
+    for first, numbers in parts.groupBy("first").applyInArrow(added, "first long, numbers binary").collect():
+        out[:, first : first + PART] = np.frombuffer(numbers, kind).reshape(n, -1)
+    return out
+
+
+def _free(spark) -> None:
+    """Has Spark delete the shuffle files of what is over; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,77 +265,105 @@ def _passages(vocabulary):
     return run
 
 
-def _pairer(seed_terms, v: int):
-    """Counts of passages by term, and by term and seed."""
+def _terms_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the passages of a batch, and where each passage ends."""
+    column = b.column(0)
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    bytes_to = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(data < 128)[bytes_to - 1]
+    total = np.cumsum(_numbers(data))
+    return total - np.repeat(np.concatenate(([0], total[ends[:-1] - 1])), np.diff(ends, prepend=0)), ends
+
+
+def _facts(v: int):
+    """Passages of each term, and its pairs with the terms behind it in them."""
+
+    def run(batches):
+        out = np.zeros((2, v), np.int64)
+        for b in batches:
+            if b.num_rows:
+                term, ends = _terms_of(b)
+                out[0] += np.bincount(term, minlength=v)
+                behind = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(term)) - 1
+                out[1] += np.bincount(term, behind, v).astype(np.int64)
+        yield from _parts(out)
+
+    return run
+
+
+def _pairer(bounds, v: int, low: int, high: int):
+    """Counts of passages by pairs of terms whose first is from ``low`` up to ``high``; every pair in a passage counts."""
 
     def run(batches):
-        seeds = seed_terms.value
-        number = np.full(v, -1, np.int64)
-        number[seeds] = np.arange(len(seeds))
-        pairs, df = _Counts(1), np.zeros(v, np.int64)
+        cells = bounds.value
+        tops, held, size = np.unique(cells // U(v)).astype(np.int64), [], 0
 
         def passed():
-            keys, n = pairs.merge()
-            pairs.keys, pairs.values, pairs.size = [], [], 0
-            rows = [{"block": k, "size": size, "near": near, "many": many} for k, size, near, many in _blocks_of(keys, n[:, 0], len(seeds))]
-            for k in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema=ROWS)
+            term = np.concatenate([t for t, _ in held])
+            ends = np.cumsum(np.concatenate([np.diff(e, prepend=0) for _, e in held]))
+            at = np.flatnonzero((term >= low) & (term < high))
+            at = at[np.argsort(term[at], kind="stable")]
+            behind = ends[np.searchsorted(ends, at, "right")] - at - 1
+            cuts, rows = np.searchsorted(term[at], tops), []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                i, j = cuts[k], cuts[k + 1]
+                kind = np.uint32 if int(tops[k + 1] - tops[k]) * v <= 1 << 32 else U
+                n = behind[i:j]
+                place = np.repeat(at[i:j] + 1 - (np.cumsum(n) - n), n)
+                place += np.arange(len(place))
+                keys = term[place].astype(kind)
+                keys += np.repeat(((term[at[i:j]] - tops[k]) * v).astype(kind), n)
+                if not len(keys):
+                    continue
+                keys.sort()
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                n = np.diff(first, append=len(keys)).astype(np.uint32)
+                keys = keys[first].astype(U) + U(int(tops[k]) * v)
+                c = int(np.searchsorted(cells, keys[0], "right")) - 1
+                last = int(np.searchsorted(cells, keys[-1], "right"))
+                for c, (x, y) in enumerate(zip(bound := np.searchsorted(keys, cells[c : last + 1]).tolist(), bound[1:]), c):
+                    if x < y:
+                        near = np.diff(keys[x:y] - cells[c], prepend=U(0)).astype(_near_type(cells, c))
+                        rows.append({"cell": c, "size": y - x, "near": _pack(near), "many": _pack(n[x:y])})
+            held.clear()
+            return _batches(rows, ROWS)
 
         for b in batches:
-            column = b.column(0)
-            data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-            ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
-            count = np.diff(np.cumsum(data < 128)[ends - 1], prepend=0)
-            first = np.cumsum(count) - count
-            total = np.cumsum(_numbers(data))
-            term = total - np.repeat(np.concatenate(([0], total[first[1:] - 1])), count)
-            df += np.bincount(term, minlength=v)
-            at = np.flatnonzero(number[term] >= 0)
-            passage = np.searchsorted(first, at, "right") - 1
-            for i, j in _portions(count[passage], PAIRS):
-                own, p = number[term[at[i:j]]], passage[i:j]
-                n = count[p]
-                other = np.repeat(first[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                keys, n = np.unique(term[other] * len(seeds) + np.repeat(own, n), return_counts=True)
-                pairs.add(keys.astype(U), n[:, None])
-                if pairs.size >= HELD:
+            if b.num_rows:
+                term, ends = _terms_of(b)
+                held.append((term.astype(np.int32), ends))
+                size += len(term)
+                if size >= HELD:
                     yield from passed()
-        yield from passed()
-        for block in range(-(-v // BLOCK)):
-            own = df[block * BLOCK : (block + 1) * BLOCK]
-            if own.any():
-                yield pa.RecordBatch.from_pylist([{"block": block, "facts": np.pad(own, (0, BLOCK - len(own))).tobytes(), "size": 0, "near": b"", "many": b""}], schema=ROWS)
+                    size = 0
+        if held:
+            yield from passed()
 
     return run
 
 
-def _portions(sizes: np.ndarray, most: int):
-    """Ranges of about ``most`` in all."""
-    ends, i = np.cumsum(sizes), 0
-    while i < len(sizes):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
-        yield i, j
-        i = j
-
+def _summer(facts, v: int):
+    """The edges of a cell: runs of terms with the terms that they are joined to, and how many passages they share."""
 
-def _summer(k: int):
     def run(rows: pa.Table) -> pa.Table:
-        facts, keys, n = np.zeros(BLOCK, np.int64), [], []
-        for r in rows.to_pylist():
-            if r["facts"]:
-                facts += np.frombuffer(r["facts"], np.int64)
-            if r["size"]:
-                keys.append(np.cumsum(_unpack(r["near"], r["size"], _near_type(k)), dtype=np.uint64))
-                n.append(_unpack(r["many"], r["size"], np.uint32))
-        keys, n = (np.concatenate(x) if x else np.zeros(0, U) for x in (keys, n))
+        cells, often, passages = facts.value
+        cell = rows.column("cell")[0].as_py()
+        parts = [(np.cumsum(_unpack(r["near"], r["size"], _near_type(cells, cell)), dtype=U), _unpack(r["many"], r["size"], np.uint32)) for r in rows.to_pylist()]
+        keys, n = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order].astype(np.int64)
-        if len(keys):
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, n = keys[first], np.add.reduceat(n, first)
-            keys, n = keys[n >= MIN_COUNT], n[n >= MIN_COUNT]
-        one = {"block": rows.column("block")[0].as_py(), "facts": facts.tobytes(), "size": len(keys), "near": keys.tobytes(), "many": n.tobytes()}
-        return pa.Table.from_pylist([one], schema=ROWS)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, n = keys[first], np.add.reduceat(n, first)
+        keys, n = keys[n >= MIN_COUNT] + cells[cell], n[n >= MIN_COUNT]
+        a, near = (keys // U(v)).astype(np.int64), (keys % U(v)).astype(np.int64)
+        use = shifted_ppmi(n, often[a], often[near], passages) > 0
+        a, near, n = a[use], near[use], n[use]
+        if not len(a):
+            return EDGES.empty_table()
+        first = np.array([i for i, _ in _runs(a)])
+        runs = np.diff(first, append=len(a))
+        one = {"terms": a[first].tobytes(), "runs": runs.tobytes(), "size": len(a), "near": _pack(near.astype(np.uint32)), "many": _pack(np.minimum(n, (1 << 32) - 1).astype(np.uint32))}
+        return pa.Table.from_pylist([one], schema=EDGES)
 
     return run
 
@@ -311,102 +375,91 @@ def shifted_ppmi(n: np.ndarray, a: np.ndarray, b: np.ndarray, passages: int) ->
     return np.where((n >= MIN_COUNT) & (n - expected >= MIN_Z * np.sqrt(expected)) & (weight > 0), weight, 0)
 
 
-def _weigher(facts):
-    """The edges, a row for each term; those of two seeds once."""
-
-    def run(batches):
-        seeds, often, passages = facts.value
-        place = {int(t): i for i, t in enumerate(seeds)}
-        for b in batches:
-            for block, df, x, y in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4))):
-                keys, n, df = np.frombuffer(x, U), np.frombuffer(y, np.int64), np.frombuffer(df, np.int64)
-                local, seed = (keys // U(len(seeds))).astype(np.int64), (keys % U(len(seeds))).astype(np.int64)
-                term, near = block * BLOCK + local, seeds[seed]
-                weight = shifted_ppmi(n, df[local], often[seed], passages)
-                both = np.array([t in place for t in range(block * BLOCK, (block + 1) * BLOCK)])[local]
-                use = (weight > 0) & (term != near) & (~both | (term < near))
-                a, c, w = term[use], near[use].astype(np.int32), weight[use].astype(np.float32)
-                runs = list(_runs(a))
-                yield pa.RecordBatch.from_arrays([pa.array([int(a[i]) for i, _ in runs], pa.int32()), pa.array([c[i:j].tobytes() for i, j in runs], pa.binary()), pa.array([w[i:j].tobytes() for i, j in runs], pa.binary())], ["a", "near", "weight"])
+def _weighed(facts):
+    """Reads the edges of ``word_graph``: terms, how many edges each has here, the other ends and the weights."""
 
-    return run
+    def edges(b):
+        _, often, passages = facts.value
+        for terms, runs, size, near, many in zip(*(b.column(c).to_pylist() for c in range(5))):
+            a, runs = np.frombuffer(terms, np.int64), np.frombuffer(runs, np.int64)
+            near, n = _unpack(near, size, np.uint32), _unpack(many, size, np.uint32)
+            yield a, runs, near, np.log(n * (passages / SHIFT) / (np.repeat(often[a], runs) * often[near].astype(float)))
 
+    return edges
 
-def _dense(b: pa.RecordBatch, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term, and its edges as a row over the seeds, in slices of a batch of the graph."""
-    size = 1 + (32 << 20) // (8 * max(1, int(number.max(initial=0)) + 1))
-    for k in range(0, b.num_rows, size):
-        part = b.slice(k, size)
-        near = [np.frombuffer(x, np.int32) for x in part.column(1).to_pylist()]
-        x = np.zeros((part.num_rows, int(number.max(initial=0)) + 1))
-        x[np.repeat(np.arange(len(near)), [len(c) for c in near]), number[np.concatenate(near)]] = np.concatenate([np.frombuffer(w, np.float32) for w in part.column(2).to_pylist()])
-        yield part.column(0).to_numpy(), x
 
-
-def _number(seeds: np.ndarray, v: int) -> np.ndarray:
-    out = np.full(v, -1, np.int64)
-    out[seeds] = np.arange(len(seeds))
-    return out
+def _listed(b):
+    """Reads edges that come as rows of a term, the other ends and the weights."""
+    near, weight = ([np.frombuffer(x, kind) for x in b.column(c).to_pylist()] for c, kind in ((1, np.int32), (2, np.float32)))
+    if near:
+        yield b.column(0).to_numpy(), np.array([len(x) for x in near]), np.concatenate(near), np.concatenate(weight).astype(float)
 
 
-def _returns(seed_terms, v: int):
-    """Row by row of seeds: the edges with seeds, and the paths over a term back to a seed, each over the term's degree."""
+def _product(sent, edges):
+    """The weights, as a symmetric matrix of which each edge is held once, times each row of the numbers sent."""
 
     def run(batches):
-        number = _number(seed_terms.value, v)
-        k = len(seed_terms.value)
-        direct, over = np.zeros((k, k)), np.zeros((k, k))
-        for b in batches:
-            for term, x in _dense(b, number):
-                own = number[term]
-                direct[own[own >= 0]] += x[own >= 0]
-                x = x[own < 0]
-                over += x.T @ (x / np.maximum(x.sum(1, keepdims=True), 1e-300))
-        some = np.flatnonzero(direct.any(1) | over.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([np.concatenate((direct[i], over[i])).tobytes() for i in some], pa.binary())], ["seed", "row"])
-
-    return run
-
-
-def _added(rows: pa.Table) -> pa.Table:
-    """The sum, in an order that doesn't depend on arrival."""
-    total = np.sum([np.frombuffer(x) for x in sorted(rows.column("row").to_pylist())], 0)
-    return pa.table({"seed": rows.column("seed")[:1], "row": pa.array([total.tobytes()], pa.binary())})
+        x = sent.value
+        y, ends, size = np.zeros(x.shape), [], 0
 
+        def added():
+            near = np.concatenate([e[0] for e in ends])
+            for k in range(len(x)):
+                y[k] += np.bincount(near, np.concatenate([e[1][k] for e in ends]), y.shape[1])
+            ends.clear()
 
-def _reached(flow, v: int):
-    def run(batches):
-        seeds, per_weight = flow.value
-        number = _number(seeds, v)
         for b in batches:
-            for term, x in _dense(b, number):
-                p = (1 - RESTART) * (x @ per_weight)
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "toxic", "clean"])
+            for a, runs, near, weight in edges(b):
+                first = np.cumsum(runs) - runs
+                for k in range(len(x)):
+                    np.add.at(y[k], a, np.add.reduceat(weight * x[k][near], first))
+                ends.append((near, [weight * np.repeat(own[a], runs) for own in x]))
+                size += len(near)
+                if size >= PAIRS:
+                    added()
+                    size = 0
+        if ends:
+            added()
+        yield from _parts(y)
 
     return run
 
 
-def walk(graph: DataFrame, seed_terms: np.ndarray, restart: np.ndarray) -> np.ndarray:
+def walk(graph: DataFrame, seed_terms: np.ndarray, restart: np.ndarray, edges=_listed) -> np.ndarray:
     """(V, 2): where random walks are that restart at the seeds by two distributions (columns of ``restart`` that sum to 1).
 
-    Every edge has a seed at one end, so a walk is at a seed, or will be after the next step: the seeds' own probabilities
-    are the solution of a system of their size, which the labelled sample bounds, and a term's follow from its edges.
+    The walks' equations, scaled by the roots of the degrees, are symmetric and have a condition of (2 - RESTART) / RESTART
+    at most, so conjugate gradients solve them in few steps whatever the graph: each is a product with the edges, of which
+    the driver gets a few numbers a term. They end when no term lacks more than ``EXACT`` of what keeps
+    terms neutral. ``graph`` has each edge once, and ``edges`` reads its batches.
     """
-    v, k = restart.shape[0], len(seed_terms)
-    send = graph.sparkSession.sparkContext.broadcast
-    direct, over = np.zeros((k, k)), np.zeros((k, k))
-    for seed, row in graph.mapInArrow(_returns(send(seed_terms), v), "seed long, row binary").groupBy("seed").applyInArrow(_added, "seed long, row binary").collect():
-        direct[seed], over[seed] = np.frombuffer(row).reshape(2, k)
-    direct = direct + direct.T
-    degree = direct.sum(1) + over.sum(1)
-    inverse = np.divide(1, degree, out=np.zeros(k), where=degree > 0)
-    stay = 1 - RESTART
-    own = np.linalg.solve(np.eye(k) - stay * direct * inverse - stay**2 * over * inverse, RESTART * restart[seed_terms])
-    p = np.zeros((v, 2))
-    found = graph.mapInArrow(_reached(send((seed_terms, own * inverse[:, None])), v), "a int, toxic double, clean double").toArrow()
-    p[found.column("a").to_numpy()] = np.stack([found.column(c).to_numpy() for c in ("toxic", "clean")], 1)
-    p[seed_terms] = own
-    return p
+    v = restart.shape[0]
+    context = graph.sparkSession.sparkContext
+    graph = graph.coalesce(context.defaultParallelism)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        sent = context.broadcast(x)
+        out = _total(graph.mapInArrow(_product(sent, edges), "first long, numbers binary"), len(x), v, float)
+        sent.destroy()
+        return out
+
+    start = np.zeros((2, v))
+    start[:, seed_terms] = RESTART * restart[seed_terms].T
+    root = np.sqrt(times(np.ones((1, v)))[0])
+    inverse = np.divide(1, root, out=np.zeros(v), where=root > 0)
+    x, lack = np.zeros((2, v)), start * inverse
+    to, size = lack, (lack**2).sum(1, keepdims=True)
+    for k in range(1, MOST_STEPS + 1):
+        if np.abs(lack * root).max() <= EXACT * NEUTRAL / v:
+            break
+        image = to - (1 - RESTART) * times(to * inverse) * inverse
+        step = size / np.maximum((to * image).sum(1, keepdims=True), 1e-300)
+        x, lack = x + step * to, lack - step * image
+        last, size = size, (lack**2).sum(1, keepdims=True)
+        to = lack + size / np.maximum(last, 1e-300) * to
+        if k % 4 == 0:
+            _free(graph.sparkSession)
+    return np.where(root > 0, x * root, start).T
 
 
 LEXICON_ROWS = pa.schema([("h", pa.int64()), ("polarity", pa.float64())])
@@ -450,18 +503,31 @@ def terms(docs: DataFrame, known: dict[int, int]) -> Terms:
     return Terms(found.filter("h is not null").toArrow(), uses, n, len(toxic), len(clean))
 
 
-def word_graph(docs: DataFrame, vocabulary: np.ndarray, seeds: np.ndarray) -> DataFrame:
-    """a, near, weight: for each term (its place) the seeds that it has an edge with. Edges of two seeds come once."""
-    send = docs.sparkSession.sparkContext.broadcast
-    v = len(vocabulary)
+def word_graph(docs: DataFrame, vocabulary: np.ndarray):
+    """All edges between terms (their places), each once, and what reads them: the argument ``edges`` of ``walk``.
+
+    Pairs are counted in waves of first terms, each with about as many pairs, so that of the counts under way only a
+    wave's are on disk.
+    """
+    spark, v = docs.sparkSession, len(vocabulary)
+    send = spark.sparkContext.broadcast
     passages = docs.select("text").mapInArrow(_passages(send(vocabulary)), "h long, terms binary").groupBy("h").agg(F.first("terms").alias("terms"))
     passages = materialise(passages.select("terms"), "passages")
-    rows = passages.mapInArrow(_pairer(send(seeds), v), ROWS_SQL)
-    summed = materialise(rows.groupBy("block").applyInArrow(_summer(len(seeds)), ROWS_SQL), "meetings")
-    wanted = np.unique(seeds // BLOCK)
-    df = {r[0]: np.frombuffer(r[1], np.int64) for r in summed.filter(F.col("block").isin([int(x) for x in wanted])).select("block", "facts").collect()}
-    often = np.array([df[t // BLOCK][t % BLOCK] if t // BLOCK in df else 0 for t in seeds], np.int64)
-    return materialise(summed.mapInArrow(_weigher(send((seeds, often, max(1, passages.count())))), "a int, near binary, weight binary"), "ppmi")
+    often, work = _total(passages.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_facts(v), "first long, numbers binary"), 2, v, np.int64)
+    _free(spark)
+    cells = _cells(work)
+    bounds, facts = send(cells), send((cells, often, max(1, passages.count())))
+    waves = min(WAVES, 1 + int(work.sum()) // WAVE)
+    cuts = [0, *np.searchsorted(np.cumsum(work), work.sum() * np.arange(1, waves) / waves).tolist(), v]
+    graph = None
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            met = passages.mapInArrow(_pairer(bounds, v, low, high), ROWS_SQL).groupBy("cell").applyInArrow(_summer(facts, v), EDGES_SQL)
+            met = materialise(met, "edges")
+            graph = graph.union(met) if graph else met
+            if waves > 1:
+                _free(spark)
+    return graph, _weighed(facts)
 
 
 def induce(docs: DataFrame, known: dict[int, int], clean_seeds: int = CLEAN_SEEDS, held_out: np.ndarray | None = None) -> pa.Table:
@@ -482,7 +548,8 @@ def induce(docs: DataFrame, known: dict[int, int], clean_seeds: int = CLEAN_SEED
     restart[bad, 0], restart[good, 1] = t.used[bad], t.df[good]
     restart /= restart.sum(0)
     seeds = np.unique(np.concatenate((bad, good)))
-    p = walk(word_graph(docs, t.h, seeds), seeds, restart)
+    graph, edges = word_graph(docs, t.h)
+    p = walk(graph, seeds, restart, edges)
     polarity = np.round((p[:, 0] - p[:, 1]) / (p.sum(1) + NEUTRAL / v), 9)
     polarity = np.where(t.clean > t.used, np.minimum(0, polarity), polarity)
     polarity[bad] = np.maximum(polarity[bad], LEXICON)

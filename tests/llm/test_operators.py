@@ -387,6 +387,31 @@ def toxic_texts(n=1500):
     return texts
 
 
+def test_edges_are_all_pairs_over_the_thresholds(spark, monkeypatch):
+    """Words that are no seeds have edges too; waves, cells and what a task holds at a time leave none out and change no count."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join({f"w{x}" for x in rng.zipf(1.3, 40) if x < 400} | ({"rare", "company"} if i % 80 == 0 else set())) for i in range(900)]
+    terms = [x for x, k in Counter(x for t in texts for x in t.split()).items() if k >= toxicity.MIN_DOCS]
+    passages = {frozenset(x for x in t.split() if x in terms) for t in texts} - {frozenset()}
+    often, want = Counter(x for p in passages for x in p), {}
+    for pair, k in Counter(frozenset((x, y)) for p in passages for x in p for y in p if x < y).items():
+        x, y = pair
+        if weight := float(toxicity.shifted_ppmi(*(np.array([float(c)]) for c in (k, often[x], often[y])), len(passages))[0]):
+            want[pair] = weight
+    words = dict(zip(hash_words(terms).tolist(), terms))
+    vocabulary = np.array(sorted(words), U)
+    place = [words[int(h)] for h in vocabulary]
+    for small in ({}, {"HELD": 3000, "PAIRS": 700, "CELL": 500, "WAVE": 20000}):
+        for k, x in small.items():
+            monkeypatch.setattr(toxicity, k, x)
+        graph, edges = toxicity.word_graph(make(spark, texts), vocabulary)
+        found = []
+        for a, runs, near, weight in (e for b in graph.toArrow().to_batches() for e in edges(b)):
+            found += [(frozenset((place[x], place[y])), w) for x, y, w in zip(np.repeat(a, runs), near, weight)]
+        assert len(found) == len(dict(found)) and set(dict(found)) == set(want) and frozenset(("rare", "company")) in want
+        assert all(abs(w - want[pair]) < 1e-9 for pair, w in found)
+
+
 TOXIC_LABELS = [(i, 1, int(i < 60)) for i in [*range(60), *range(65, 400)]]
 
 
@@ -413,8 +438,8 @@ def test_lexicon_against_brute_force(spark):
     good = set(sorted(fit, key=lambda x: (-df[x], hash_words([x])[0]))[: toxicity.CLEAN_SEEDS])
     passages = {frozenset(x for x in w[k : k + toxicity.PASSAGE] if x in terms) for w in words for k in range(0, len(w), toxicity.PASSAGE)} - {frozenset()}
     often = Counter(x for p in passages for x in p)
-    seeds, names = bad | good, sorted(terms)
-    n = Counter(frozenset((x, y)) for p in passages for x in p & seeds for y in p if x != y and (y not in seeds or x < y))
+    names = sorted(terms)
+    n = Counter(frozenset((x, y)) for p in passages for x in p for y in p if x < y)
     place, dense = {x: i for i, x in enumerate(names)}, np.zeros((len(names), len(names)))
     for pair, k in n.items():
         x, y = pair
