@@ -13,8 +13,10 @@ toxic uses, of those in the same words one, has no polarity above 0, and a toxic
 the score on that best tells the labelled documents apart, a clean one wrongly found counting as two missed.
 
 Terms are the words of ``MIN_DOCS`` documents or more: rarer ones can't have ``MIN_COUNT`` passages of evidence worth the
-name. All pairs of terms in a passage are counted, in waves. Counts of all words and all distinct passages are shuffled, so nothing depends on where
-a document is read. The vocabulary grows with the corpus; pairs travel in cells, and the driver holds a few numbers a term.
+name. All pairs of terms in a passage are counted, each as a pair of the rarer term. Pairs of the ``HEAD`` most usual terms
+have a counter each in every task. Of the rest, ranges of rarer terms (cells) get the passages that hold them, so that each pair is
+counted in one place; cells go in waves. Counts of all words and all distinct passages are shuffled, so nothing depends on where
+a document is read. The vocabulary grows with the corpus; passages travel to cells, and the driver holds a few numbers a term.
 
 Results for odd input: null, empty or wordless text scores nothing; a null doc_id is scored but never labelled; repeated
 rows are scored alike; without labels of both kinds there are no seeds and nothing is toxic; an empty table gives an empty
@@ -24,10 +26,10 @@ result; extra columns are ignored. Equal terms are ranked by hash.
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,13 @@ MIN_COUNT, MIN_Z, SHIFT = 3, 3.0, 2.0
 RESTART = 0.15
 NEUTRAL = 2.0
 LEXICON = 0.6
-#: Terms of passages that a task holds before it passes the counts of their pairs on, and edges that a step of the walks adds at once.
-HELD, PAIRS = 8_000_000, 2_000_000
-#: Uses of pairs that are summed together at least, and how many such cells there are at most, but for the most usual terms.
-CELL, CELLS = 2_000_000, 8192
-#: Uses of pairs that a wave counts at least, and waves at most: disk is bounded by a share of the pairs.
+#: The most usual terms, of whose pairs each has a counter.
+HEAD = 8192
+#: Terms of passages that a cell holds before it counts their pairs, and edges that travel together: few, so that a core's cache holds their numbers.
+HELD, PAIRS = 8_000_000, 1 << 17
+#: Uses of pairs that a cell counts at least, and how many cells there are at most.
+CELL, CELLS = 6_000_000, 8192
+#: Uses of pairs that a wave counts at least, and waves at most: disk is bounded by a share of the passages sent.
 WAVE, WAVES = 200_000_000, 12
 #: Terms whose numbers travel together.
 PART = 1 << 16
@@ -68,11 +72,16 @@ def labelled(labels: DataFrame, most: int = MAX_LABELS) -> dict[int, int]:
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each (word, text) once."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
+    order = np.argsort(h)
+    h = h[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], doc[new]
+    new[1:] = h[1:] != h[:-1]
+    n = int(doc.max(initial=0)) + 1
+    key = (np.cumsum(new) - 1) * n + doc[order]
+    key.sort()
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+    word = key // n
+    return h[new][word], key - word * n
 
 
 class _Counts:
@@ -114,7 +123,9 @@ def _counter(known):
             n += b.num_rows
             for first, h, of in word_hashes(b.column(1)):
                 h, doc = _distinct(h, np.repeat(np.arange(len(of) - 1), np.diff(of)))
-                counts.add(h, kind[first + doc])
+                if len(h):
+                    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                    counts.add(h[new], np.add.reduceat(kind[first + doc], new, axis=0))
         keys, values = counts.merge()
         cols = [pa.concat_arrays([pa.array(c), pa.array([x], pa.int64())]) for c, x in zip((keys.view(np.int64), *values.T), (None, n, 0, 0))]
         yield pa.RecordBatch.from_arrays(cols, ["h", "df", "toxic", "clean"])
@@ -142,42 +153,32 @@ def wilson(hits: np.ndarray, misses: np.ndarray) -> np.ndarray:
     return np.round((share + SURE**2 / 2 / m - SURE * np.sqrt(share * (1 - share) / m + SURE**2 / 4 / m / m)) / (1 + SURE**2 / m), 9)
 
 
-ROWS = pa.schema([("cell", pa.int32()), ("size", pa.int64()), ("near", pa.binary()), ("many", pa.binary())])
-ROWS_SQL = "cell int, size long, near binary, many binary"
-EDGES = pa.schema([("terms", pa.binary()), ("runs", pa.binary()), ("size", pa.int64()), ("near", pa.binary()), ("many", pa.binary())])
-EDGES_SQL = "terms binary, runs binary, size long, near binary, many binary"
+COUNTS = pa.schema([("cell", pa.int32()), ("size", pa.int64()), ("many", pa.binary())])
+COUNTS_SQL = "cell int, size long, many binary"
+SENT = pa.schema([("cell", pa.int32()), ("terms", pa.binary()), ("sizes", pa.binary())])
+SENT_SQL = "cell int, terms binary, sizes binary"
+EDGES = pa.schema([("terms", pa.binary()), ("runs", pa.binary()), ("jumps", pa.binary()), ("size", pa.int64()), ("steps", pa.binary()), ("many", pa.binary())])
+EDGES_SQL = "terms binary, runs binary, jumps binary, size long, steps binary, many binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True) if len(x) else b""
+    """Unsigned numbers by byte planes, compressed; planes of zeros are left out."""
+    planes = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([planes]) + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :planes].T).tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = pa.decompress(data, n * size, "zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
-
-
-def _near_type(cells: np.ndarray, cell: int):
-    """Holds the places of a cell's pairs."""
-    return np.uint32 if cells[cell + 1] - cells[cell] <= U(1 << 32) else U
-
-
-def _cells(work: np.ndarray) -> np.ndarray:
-    """Bounds of ranges of pairs (first term times V plus second term) that are met about equally often; a usual term has several."""
-    v = len(work)
-    most = max(CELL, int(work.sum()) // CELLS)
-    many = np.flatnonzero(work > most)
-    cuts = [np.flatnonzero(np.diff(np.cumsum(work) // most, prepend=-1)) * v, many * v, (many + 1) * v]
-    cuts += [t * v + np.arange(k) * v // k for t, k in zip(many.tolist(), (-(-work[many] // most)).tolist())]
-    return np.unique(np.concatenate([[0, v * v], *cuts])).astype(U)
+    raw = np.frombuffer(pa.decompress(memoryview(data)[1:], n * data[0], "zstd"), np.uint8).reshape(data[0], n)
+    out = raw[0].astype(kind)
+    for k in range(1, data[0]):
+        out |= raw[k].astype(kind) << kind(8 * k)
+    return out
 
 
-def _runs(x: np.ndarray):
-    """Where equal neighbours begin and end."""
-    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, int)
-    return zip(first.tolist(), [*first[1:].tolist(), len(x)])
+def _cells(work: np.ndarray, low: int) -> np.ndarray:
+    """Bounds of ranges of the terms from ``low`` on that are the rarer ones of about equally many pairs."""
+    most = max(CELL, int(work[low:].sum()) // CELLS)
+    return np.unique([low, *(low + np.flatnonzero(np.diff(np.cumsum(work[low:]) // most, prepend=0))).tolist(), len(work)])
 
 
 def _batches(rows: list[dict], schema: pa.Schema):
@@ -204,6 +205,16 @@ def _total(parts: DataFrame, n: int, v: int, kind) -> np.ndarray:
     return out
 
 
+def _grouped(run):
+    """``run`` with the types that tell Spark to hand it a group batch by batch."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+
+    grouped.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return grouped
+
+
 def _free(spark) -> None:
     """Has Spark delete the shuffle files of what is over; else they stay until the driver happens to collect its garbage."""
     gc.collect()
@@ -225,19 +236,39 @@ def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _numbers(b: np.ndarray) -> np.ndarray:
     """What _varints made."""
     last = np.flatnonzero(b < 128)
-    first = np.concatenate(([0], last[:-1] + 1))[: len(last)]
-    out = np.zeros(len(last), np.int64)
-    for k in range(int((last - first).max(initial=-1)) + 1):
-        some = first + k <= last
-        out[some] |= (b[first[some] + k].astype(np.int64) & 127) << (7 * k)
+    out, size = b[last].astype(np.int64), np.diff(last, prepend=-1)
+    more = np.flatnonzero(size > 1)
+    for k in range(1, int(size.max(initial=0))):
+        more = more[size[more] > k]
+        out[more] = out[more] << 7 | b[last[more] - k] & 127
     return out
 
 
+def _finder(words: np.ndarray):
+    """Looks up hashes among sorted ones: their places, and which are there. Hashes are spread evenly, so the first bits lead close."""
+    bits = max(1, len(words).bit_length())
+    begin = np.searchsorted(words, np.arange(1 << bits, dtype=U) << U(64 - bits))
+    padded = np.append(words, U(0xFFFFFFFFFFFFFFFF))
+
+    def find(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = begin[(h >> U(64 - bits)).astype(np.int64)]
+        on = np.flatnonzero(padded[at] < h)
+        while len(on):
+            at[on] += 1
+            on = on[padded[at[on]] < h[on]]
+        return at, (padded[at] == h) & (at < len(words))
+
+    return find
+
+
 def _passages(vocabulary):
-    """The distinct terms of each passage, and their hash."""
+    """The distinct terms of each passage, most usual first, and their hash."""
 
     def run(batches):
         vocab = vocabulary.value
+        order = np.argsort(vocab)
+        find, place_of = _finder(vocab[order]), order
+        marks = mix(vocab ^ U(0x5851F42D4C957F2D))
         for b in batches:
             for _, h, of in word_hashes(b.column(0)):
                 n = np.diff(of)
@@ -246,124 +277,228 @@ def _passages(vocabulary):
                     continue
                 place = np.arange(len(h)) - np.repeat(of[:-1], n)
                 passage = np.repeat(np.cumsum(passages) - passages, n) + place // PASSAGE
-                term = np.searchsorted(vocab, h)
-                term[term == len(vocab)] = 0
-                hit = vocab[term] == h
-                key = np.unique(passage[hit] * len(vocab) + term[hit])
-                passage, term = key // len(vocab), key % len(vocab)
-                first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1]))) if len(key) else np.zeros(0, int)
+                at, hit = find(h)
+                key = passage[hit] * len(vocab) + place_of[at[hit]]
+                key.sort()
+                key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+                passage = key // len(vocab)
+                term = key - passage * len(vocab)
+                first = np.flatnonzero(np.diff(passage, prepend=-1))
                 if not len(first):
                     continue
                 steps = np.diff(term, prepend=0)
                 steps[first] = term[first]
                 data, size = _varints(steps)
                 ends = np.concatenate((np.cumsum(size)[first[1:] - 1], [len(data)]))
-                sums = np.add.reduceat(mix(vocab[term] ^ U(0x5851F42D4C957F2D)), first)
+                sums = np.add.reduceat(marks[term], first)
                 terms = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(mix(sums).view(np.int64)), terms], ["h", "terms"])
 
     return run
 
 
-def _terms_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of the passages of a batch, and where each passage ends."""
-    column = b.column(0)
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    bytes_to = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+def _starts(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], ends[:-1])) if len(ends) else ends
+
+
+def _decoded(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Terms of passages that have so many up to their ends."""
+    steps = _numbers(data)
+    total = np.cumsum(steps)
+    first = _starts(ends)
+    return total - np.repeat(total[first] - steps[first], np.diff(ends, prepend=0))
+
+
+def _terms_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the passages of a batch, where each passage ends, and the bytes that they were."""
+    column = b.column(0).cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data, bytes_to = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]], at[1:] - at[0]
     ends = np.cumsum(data < 128)[bytes_to - 1]
-    total = np.cumsum(_numbers(data))
-    return total - np.repeat(np.concatenate(([0], total[ends[:-1] - 1])), np.diff(ends, prepend=0)), ends
+    return _decoded(data, ends), ends, data
+
+
+def _slices(batches):
+    """Parts of the batches that are small enough for a core's cache."""
+    for b in batches:
+        for k in range(0, b.num_rows, 2000):
+            yield b.slice(k, 2000)
 
 
 def _facts(v: int):
-    """Passages of each term, and its pairs with the terms behind it in them."""
+    """Passages of each term, and its pairs with the terms before it in them."""
 
     def run(batches):
         out = np.zeros((2, v), np.int64)
-        for b in batches:
-            if b.num_rows:
-                term, ends = _terms_of(b)
-                out[0] += np.bincount(term, minlength=v)
-                behind = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(term)) - 1
-                out[1] += np.bincount(term, behind, v).astype(np.int64)
+        for b in _slices(batches):
+            term, ends, _ = _terms_of(b)
+            np.add.at(out[0], term, 1)
+            np.add.at(out[1], term, np.arange(len(term)) - np.repeat(_starts(ends), np.diff(ends, prepend=0)))
         yield from _parts(out)
 
     return run
 
 
-def _pairer(bounds, v: int, low: int, high: int):
-    """Counts of passages by pairs of terms whose first is from ``low`` up to ``high``; every pair in a passage counts."""
+def _pieces(low: np.ndarray) -> list[int]:
+    """Bounds of ranges of terms with about a million counters; ``low`` has how many counters come before each term's."""
+    return np.unique(np.concatenate((np.flatnonzero(np.diff(low >> 20, prepend=-1)), [len(low) - 1]))).tolist()
+
+
+def _head(v: int):
+    """Counts of passages by pairs of terms under ``v``, each in a counter of its own."""
+    low = np.arange(v + 1) * np.arange(-1, v) // 2
 
     def run(batches):
-        cells = bounds.value
-        tops, held, size = np.unique(cells // U(v)).astype(np.int64), [], 0
+        count = np.zeros(low[-1], np.uint32)
 
         def passed():
-            term = np.concatenate([t for t, _ in held])
-            ends = np.cumsum(np.concatenate([np.diff(e, prepend=0) for _, e in held]))
+            rows = []
+            for a, z in zip(cuts := _pieces(low), cuts[1:]):
+                if (some := count[low[a] : low[z]]).any():
+                    rows.append({"cell": a, "size": len(some), "many": _pack(some)})
+            return _batches(rows, COUNTS)
+
+        seen = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if seen + b.num_rows >= 1 << 32:
+                yield from passed()
+                count[:], seen = 0, 0
+            seen += b.num_rows
+            term, ends, _ = _terms_of(b)
+            first = _starts(ends)
+            size = np.add.reduceat(term < v, first, dtype=np.int64)
+            order = np.argsort(size, kind="stable")
+            for k in np.unique(size[size > 1]).tolist():
+                # passages of equally many terms: a row for each place in them
+                own = first[order[np.searchsorted(size[order], k) : np.searchsorted(size[order], k, "right")]]
+                own = term[own + np.arange(k)[:, None]]
+                for j in range(1, k):
+                    np.add.at(count, (low[own[j]] + own[:j]).reshape(-1), np.uint32(1))
+        yield from passed()
+
+    return run
+
+
+def _sender(bounds, low: int, high: int):
+    """For each of the cells of terms from ``low`` up to ``high``, the passages with such terms, up to the last of them."""
+
+    def run(batches):
+        cells = bounds.value
+        for b in _slices(batches):
+            term, ends, data = _terms_of(b)
             at = np.flatnonzero((term >= low) & (term < high))
-            at = at[np.argsort(term[at], kind="stable")]
-            behind = ends[np.searchsorted(ends, at, "right")] - at - 1
-            cuts, rows = np.searchsorted(term[at], tops), []
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                i, j = cuts[k], cuts[k + 1]
-                kind = np.uint32 if int(tops[k + 1] - tops[k]) * v <= 1 << 32 else U
-                n = behind[i:j]
-                place = np.repeat(at[i:j] + 1 - (np.cumsum(n) - n), n)
+            cell = np.searchsorted(cells, term[at], "right") - 1
+            passage = np.searchsorted(ends, at, "right")
+            last = np.flatnonzero((np.diff(cell, append=-1) != 0) | (np.diff(passage, append=-1) != 0))
+            last = last[np.argsort(cell[last], kind="stable")]
+            at, cell, passage = at[last], cell[last], passage[last]
+            bytes_to = np.concatenate(([0], np.flatnonzero(data < 128) + 1))
+            first = _starts(ends)[passage]
+            begin, n = bytes_to[first], bytes_to[at + 1] - bytes_to[first]
+            rows, sizes = [], (at + 1 - first).astype(np.int32)
+            new = np.flatnonzero(np.diff(cell, prepend=-1))
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(cell)]):
+                m = n[i:j]
+                place = np.repeat(begin[i:j] - (np.cumsum(m) - m), m)
                 place += np.arange(len(place))
-                keys = term[place].astype(kind)
-                keys += np.repeat(((term[at[i:j]] - tops[k]) * v).astype(kind), n)
-                if not len(keys):
-                    continue
-                keys.sort()
-                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-                n = np.diff(first, append=len(keys)).astype(np.uint32)
-                keys = keys[first].astype(U) + U(int(tops[k]) * v)
-                c = int(np.searchsorted(cells, keys[0], "right")) - 1
-                last = int(np.searchsorted(cells, keys[-1], "right"))
-                for c, (x, y) in enumerate(zip(bound := np.searchsorted(keys, cells[c : last + 1]).tolist(), bound[1:]), c):
-                    if x < y:
-                        near = np.diff(keys[x:y] - cells[c], prepend=U(0)).astype(_near_type(cells, c))
-                        rows.append({"cell": c, "size": y - x, "near": _pack(near), "many": _pack(n[x:y])})
-            held.clear()
-            return _batches(rows, ROWS)
+                rows.append({"cell": int(cell[i]), "terms": data[place].tobytes(), "sizes": sizes[i:j].tobytes()})
+            yield from _batches(rows, SENT)
+
+    return run
+
 
+def _pairs(term: np.ndarray, ends: np.ndarray, low: int, high: int, v: int):
+    """Pairs (first term times V plus second term) of terms from ``low`` up to ``high`` with those before them in passages, sorted, and their counts."""
+    keys, counts, wide = [], [], max(1, (1 << 32) // v)
+    every = np.flatnonzero((term >= low) & (term < high))
+    before = every - _starts(ends)[np.searchsorted(ends, every, "right")]
+    for a in range(low, high, wide):
+        some = slice(None) if high - low <= wide else (term[every] >= a) & (term[every] < a + wide)
+        at, n = every[some], before[some]
+        to = np.cumsum(n)
+        key = np.empty(int(to[-1]) if len(to) else 0, np.uint32 if v <= 1 << 32 else U)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(to, np.arange(PAIRS, len(key), PAIRS)), [len(at)]))).tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            m, begin = n[i:j], int(to[i] - n[i])
+            place = np.repeat(at[i:j] - to[i:j] + begin, m)
+            place += np.arange(len(place))
+            key[begin : begin + len(place)] = term[place] + np.repeat((term[at[i:j]].astype(np.int64) - a) * v, m)
+        key.sort()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+        keys.append(key[first].astype(U) + U(a * v))
+        counts.append(np.diff(first, append=len(key)))
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def _edge_rows(a: np.ndarray, near: np.ndarray, n: np.ndarray, often: np.ndarray, passages: int):
+    """The edges among pairs and their counts: runs of terms, and the steps from each term that they are joined to, to the next."""
+    use = np.flatnonzero(n >= MIN_COUNT)
+    use = use[shifted_ppmi(n[use], often[a[use]], often[near[use]], passages) > 0]
+    a, near, n, rows = a[use], near[use], np.minimum(n[use], (1 << 32) - 1).astype(np.uint32), []
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], near[k : k + PAIRS]
+        first = np.flatnonzero(np.diff(x, prepend=-1))
+        steps = np.diff(y, prepend=0)
+        jumps, steps[first] = steps[first], 0
+        numbers = {"terms": x[first], "runs": np.diff(first, append=len(x)), "jumps": jumps}
+        rows.append({c: m.astype(np.int32).tobytes() for c, m in numbers.items()} | {"size": len(x), "steps": _pack(steps.astype(np.uint32)), "many": _pack(n[k : k + PAIRS])})
+    return _batches(rows, EDGES)
+
+
+def _head_edges(facts, v: int):
+    """The edges of a piece of the counters of ``_head``."""
+    low = np.arange(v + 1) * np.arange(-1, v) // 2
+
+    def run(batches):
+        often, passages = facts.value
+        count = 0
         for b in batches:
-            if b.num_rows:
-                term, ends = _terms_of(b)
-                held.append((term.astype(np.int32), ends))
-                size += len(term)
-                if size >= HELD:
-                    yield from passed()
-                    size = 0
-        if held:
-            yield from passed()
+            for r in b.to_pylist():
+                count, begin = count + _unpack(r["many"], r["size"], np.uint32).astype(np.int64), int(low[r["cell"]])
+        pair = np.flatnonzero(count >= MIN_COUNT)
+        a = np.searchsorted(low, pair + begin, "right") - 1
+        yield from _edge_rows(a, pair + begin - low[a], count[pair], often, passages)
 
     return run
 
 
-def _summer(facts, v: int):
-    """The edges of a cell: runs of terms with the terms that they are joined to, and how many passages they share."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        cells, often, passages = facts.value
-        cell = rows.column("cell")[0].as_py()
-        parts = [(np.cumsum(_unpack(r["near"], r["size"], _near_type(cells, cell)), dtype=U), _unpack(r["many"], r["size"], np.uint32)) for r in rows.to_pylist()]
-        keys, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, n = keys[first], np.add.reduceat(n, first)
-        keys, n = keys[n >= MIN_COUNT] + cells[cell], n[n >= MIN_COUNT]
-        a, near = (keys // U(v)).astype(np.int64), (keys % U(v)).astype(np.int64)
-        use = shifted_ppmi(n, often[a], often[near], passages) > 0
-        a, near, n = a[use], near[use], n[use]
-        if not len(a):
-            return EDGES.empty_table()
-        first = np.array([i for i, _ in _runs(a)])
-        runs = np.diff(first, append=len(a))
-        one = {"terms": a[first].tobytes(), "runs": runs.tobytes(), "size": len(a), "near": _pack(near.astype(np.uint32)), "many": _pack(np.minimum(n, (1 << 32) - 1).astype(np.uint32))}
-        return pa.Table.from_pylist([one], schema=EDGES)
+def _tail_edges(facts, bounds, v: int):
+    """The edges of a cell, from the passages that ``_sender`` gave it."""
+
+    def run(batches):
+        (often, passages), cells = facts.value, bounds.value
+        terms, sizes, size, known = [], [], 0, None
+
+        def counted():
+            keys, n = _pairs(np.concatenate(terms), np.cumsum(np.concatenate(sizes)), int(cells[cell]), int(cells[cell + 1]), v)
+            terms.clear()
+            sizes.clear()
+            if known is None:
+                return keys, n
+            keys, n = np.concatenate((known[0], keys)), np.concatenate((known[1], n))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+            return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+        for b in batches:
+            for k in range(0, b.num_rows, 4):
+                cell, data, own = (x.to_pylist() for x in b.slice(k, 4).columns)
+                cell, data, own = cell[0], np.frombuffer(b"".join(data), np.uint8), np.frombuffer(b"".join(own), np.int32).astype(np.int64)
+                terms.append(_decoded(data, np.cumsum(own)).astype(np.int32))
+                sizes.append(own)
+                size += len(terms[-1])
+                if size >= HELD:
+                    known, size = counted(), 0
+        if terms:
+            known = counted()
+        keys, n = known
+        use = n >= MIN_COUNT
+        keys, n = keys[use], n[use]
+        a = (keys // U(v)).astype(np.int64)
+        yield from _edge_rows(a, keys.astype(np.int64) - a * v, n, often, passages)
 
     return run
 
@@ -379,11 +514,17 @@ def _weighed(facts):
     """Reads the edges of ``word_graph``: terms, how many edges each has here, the other ends and the weights."""
 
     def edges(b):
-        _, often, passages = facts.value
-        for terms, runs, size, near, many in zip(*(b.column(c).to_pylist() for c in range(5))):
-            a, runs = np.frombuffer(terms, np.int64), np.frombuffer(runs, np.int64)
-            near, n = _unpack(near, size, np.uint32), _unpack(many, size, np.uint32)
-            yield a, runs, near, np.log(n * (passages / SHIFT) / (np.repeat(often[a], runs) * often[near].astype(float)))
+        often, passages = facts.value
+        rare, logs = np.log(np.maximum(often, 1)), np.log(np.maximum(np.arange(256), 1))
+        for terms, runs, jumps, size, steps, many in zip(*(b.column(c).to_pylist() for c in range(6))):
+            a, runs = np.frombuffer(terms, np.int32), np.frombuffer(runs, np.int32)
+            near = _unpack(steps, size, np.int64)
+            near[np.cumsum(runs) - runs] = np.frombuffer(jumps, np.int32)
+            near = np.cumsum(near)
+            weight = logs[_unpack(many, size, np.uint8)] if many[0] == 1 else np.log(_unpack(many, size, np.uint32).astype(float))
+            weight -= rare[near]
+            weight += np.repeat(np.log(passages / SHIFT) - rare[a], runs)
+            yield a, runs, near, weight
 
     return edges
 
@@ -399,27 +540,15 @@ def _product(sent, edges):
     """The weights, as a symmetric matrix of which each edge is held once, times each row of the numbers sent."""
 
     def run(batches):
-        x = sent.value
-        y, ends, size = np.zeros(x.shape), [], 0
-
-        def added():
-            near = np.concatenate([e[0] for e in ends])
-            for k in range(len(x)):
-                y[k] += np.bincount(near, np.concatenate([e[1][k] for e in ends]), y.shape[1])
-            ends.clear()
-
+        # arrays that travelled have a dtype of their own, with which np.add.at takes its slow way
+        y, x = np.zeros(sent.value.shape), np.zeros(sent.value.shape)
+        x[:] = sent.value
         for b in batches:
             for a, runs, near, weight in edges(b):
                 first = np.cumsum(runs) - runs
-                for k in range(len(x)):
-                    np.add.at(y[k], a, np.add.reduceat(weight * x[k][near], first))
-                ends.append((near, [weight * np.repeat(own[a], runs) for own in x]))
-                size += len(near)
-                if size >= PAIRS:
-                    added()
-                    size = 0
-        if ends:
-            added()
+                for own, out in zip(x, y):
+                    np.add.at(out, a, np.add.reduceat(own[near] * weight, first))
+                    np.add.at(out, near, np.repeat(own[a], runs) * weight)
         yield from _parts(y)
 
     return run
@@ -506,27 +635,33 @@ def terms(docs: DataFrame, known: dict[int, int]) -> Terms:
 def word_graph(docs: DataFrame, vocabulary: np.ndarray):
     """All edges between terms (their places), each once, and what reads them: the argument ``edges`` of ``walk``.
 
-    Pairs are counted in waves of first terms, each with about as many pairs, so that of the counts under way only a
-    wave's are on disk.
+    Any order of the vocabulary is right; with the most usual terms first most pairs are counted by ``_head``. The others are counted
+    in waves of rarer terms, each with about as many pairs, so that of the passages under way only a wave's are on disk.
     """
     spark, v = docs.sparkSession, len(vocabulary)
-    send = spark.sparkContext.broadcast
+    context = spark.sparkContext
+    send, tasks = context.broadcast, context.defaultParallelism
     passages = docs.select("text").mapInArrow(_passages(send(vocabulary)), "h long, terms binary").groupBy("h").agg(F.first("terms").alias("terms"))
     passages = materialise(passages.select("terms"), "passages")
-    often, work = _total(passages.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(_facts(v), "first long, numbers binary"), 2, v, np.int64)
+    often, work = _total(passages.coalesce(tasks).mapInArrow(_facts(v), "first long, numbers binary"), 2, v, np.int64)
+    _free(spark)
+    head = min(HEAD, v)
+    cells = _cells(work, head)
+    bounds, facts = send(cells), send((often, max(1, passages.count())))
+    graph = passages.coalesce(tasks).mapInArrow(_head(head), COUNTS_SQL).groupBy("cell").applyInArrow(_grouped(_head_edges(facts, head)), EDGES_SQL)
+    graph = materialise(graph.coalesce(tasks), "edges")
     _free(spark)
-    cells = _cells(work)
-    bounds, facts = send(cells), send((cells, often, max(1, passages.count())))
-    waves = min(WAVES, 1 + int(work.sum()) // WAVE)
-    cuts = [0, *np.searchsorted(np.cumsum(work), work.sum() * np.arange(1, waves) / waves).tolist(), v]
-    graph = None
+    to = np.cumsum(work[head:])
+    total = int(to[-1]) if len(to) else 0
+    waves = min(WAVES, 1 + total // WAVE)
+    cuts = head + np.searchsorted(to, total * np.arange(1, waves) / waves)
+    cuts = [head, *cells[np.searchsorted(cells, cuts)].tolist(), v]
     for low, high in zip(cuts, cuts[1:]):
         if low < high:
-            met = passages.mapInArrow(_pairer(bounds, v, low, high), ROWS_SQL).groupBy("cell").applyInArrow(_summer(facts, v), EDGES_SQL)
-            met = materialise(met, "edges")
-            graph = graph.union(met) if graph else met
-            if waves > 1:
-                _free(spark)
+            met = passages.mapInArrow(_sender(bounds, low, high), SENT_SQL).groupBy("cell").applyInArrow(_grouped(_tail_edges(facts, bounds, v)), EDGES_SQL)
+            met = materialise(met.coalesce(tasks), "edges")
+            graph = graph.union(met)
+            _free(spark)
     return graph, _weighed(facts)
 
 
@@ -547,9 +682,10 @@ def induce(docs: DataFrame, known: dict[int, int], clean_seeds: int = CLEAN_SEED
     restart = np.zeros((v, 2))
     restart[bad, 0], restart[good, 1] = t.used[bad], t.df[good]
     restart /= restart.sum(0)
-    seeds = np.unique(np.concatenate((bad, good)))
-    graph, edges = word_graph(docs, t.h)
-    p = walk(graph, seeds, restart, edges)
+    order = np.lexsort((t.h, -t.df))
+    place = np.argsort(order)
+    graph, edges = word_graph(docs, t.h[order])
+    p = walk(graph, place[np.unique(np.concatenate((bad, good)))], restart[order], edges)[place]
     polarity = np.round((p[:, 0] - p[:, 1]) / (p.sum(1) + NEUTRAL / v), 9)
     polarity = np.where(t.clean > t.used, np.minimum(0, polarity), polarity)
     polarity[bad] = np.maximum(polarity[bad], LEXICON)

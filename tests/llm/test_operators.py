@@ -412,6 +412,23 @@ def test_edges_are_all_pairs_over_the_thresholds(spark, monkeypatch):
         assert all(abs(w - want[pair]) < 1e-9 for pair, w in found)
 
 
+def test_edges_are_the_same_by_counters_and_by_cells(spark, monkeypatch):
+    """Which words have counters, and where cells, waves and what they hold end, changes no edge; an edge takes few bytes."""
+    rng = np.random.default_rng(12)
+    docs = make(spark, [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) if x < 400) for _ in range(900)])
+    vocabulary = hash_words([f"w{x}" for x in range(1, 400)])
+    found = []
+    for head, small in ((8192, 1 << 20), (30, 300), (0, 300)):
+        for k, x in {"HEAD": head, "HELD": small, "CELL": small, "WAVE": 50 * small}.items():
+            monkeypatch.setattr(toxicity, k, x)
+        graph, edges = toxicity.word_graph(docs, vocabulary)
+        rows = graph.toArrow()
+        found.append({(x, y): round(w, 9) for b in rows.to_batches() for a, runs, near, weight in edges(b) for x, y, w in zip(np.repeat(a, runs).tolist(), near.tolist(), weight.tolist())})
+        if head > 400:
+            assert sum(len(r["steps"]) + len(r["many"]) for r in rows.to_pylist()) < 3 * len(found[0])
+    assert len(found[0]) > 100 and found[0] == found[1] == found[2]
+
+
 TOXIC_LABELS = [(i, 1, int(i < 60)) for i in [*range(60), *range(65, 400)]]
 
 
