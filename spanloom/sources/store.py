@@ -3,7 +3,8 @@
 A change writes its rows first and then publishes the next manifest, which appears whole and only once. Readers name a
 version (or take the last) and see the same rows however the store goes on. A manifest that can't be read, such as the torn
 one of a writer that died, is no version; a store whose every manifest is torn is empty. Patches, tombstones and vectors
-are numbered by the commit that publishes them, so no two share a number.
+are numbered by the commit that publishes them, so no two share a number. A row keeps the number of its append however
+segments are merged: a replay and the text index go by rows' numbers, not by segments.
 """
 
 from __future__ import annotations
@@ -39,6 +40,18 @@ def folders(manifest: dict) -> list[str]:
     return [*(s["folder"] for s in manifest["segments"]), *(f for kind in ("patches", "tombstones", "embeddings") for f, _ in manifest[kind]), *manifest["datasets"], *(manifest["text"]["folders"] if manifest["text"] else []), *([manifest["vectors"]] if manifest["vectors"] else [])]
 
 
+def _first(segment: dict) -> int:
+    """The least number of an append that a segment has rows of; its ``lsn`` is the largest."""
+    return segment.get("first_lsn", segment["lsn"])
+
+
+def _indexed(text: dict | None, segments: list[dict]) -> int:
+    """The last append whose rows a text index has. Manifests of before named segments instead."""
+    if not text:
+        return 0
+    return text["lsn"] if "lsn" in text else max((s["lsn"] for s in segments if s["id"] in text["segments"]), default=0)
+
+
 class FormatError(RuntimeError):
     """The manifest was written by another format version."""
 
@@ -128,8 +141,8 @@ class TraceStore:
         return self._merge([x["id"] for x in self.manifest()["segments"] if x["state"] == "live"])
 
     def replay(self, after: int = 0) -> DataFrame:
-        """The rows of the segments that were appended after a log number, in the order of their appends; ``lsn`` is that number."""
-        return self._stored([x for x in self.manifest()["segments"] if x["lsn"] > after])
+        """The rows that were appended after a log number; ``lsn`` is the number of a row's append, in merged segments too."""
+        return self._stored([x for x in self.manifest()["segments"] if x["lsn"] > after]).filter(F.col("lsn") > after)
 
     def _zone(self, folder: str) -> dict:
         low, high, rows = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.min("ts"), F.max("ts"), F.count("*")).first()
@@ -146,12 +159,12 @@ class TraceStore:
             if expect is not None and m["version"] != expect:
                 raise InterruptedError
             if zone["rows"]:
-                m["segments"].append({"id": m["next_segment"], "level": level, "state": "live" if instead is None else "sealed", "lsn": m["next_seq"], **zone})
+                merged = [s for s in m["segments"] if s["id"] in (instead or [])]
+                numbers = {"lsn": max(s["lsn"] for s in merged), "first_lsn": min(map(_first, merged))} if merged else {"lsn": m["next_seq"]}
+                m["segments"].append({"id": m["next_segment"], "level": level, "state": "live" if instead is None else "sealed", **numbers, **zone})
                 m["next_segment"] += 1
-                m["next_seq"] += 1
+                m["next_seq"] += not merged
             if instead is not None:
-                if m["text"] and set(instead) <= set(m["text"]["segments"]):
-                    m["text"]["segments"] = [*(x for x in m["text"]["segments"] if x not in instead), m["next_segment"] - 1]
                 m["segments"] = [s for s in m["segments"] if s["id"] not in instead]
                 m["tombstones"] = m["tombstones"] if m["segments"][:-1] else []
             return m
@@ -186,11 +199,11 @@ class TraceStore:
     def _stored(self, segments: list[dict]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], STORED)
-        schema = [f.name for f in STORED if f.name not in ("segment_id", "lsn")]
+        schema = [f.name for f in STORED if f.name != "segment_id"]
         read = self.spark.read.schema(STORED)
         df = read.parquet(*(f"{self.path}/{s['folder']}" for s in segments)).select(*schema, F.regexp_extract(F.col("_metadata.file_path"), "segments/([0-9a-f]{32})/", 1).alias("_folder"))
         numbers = lambda n: F.create_map(*(x for s in segments for x in (F.lit(s["folder"].split("/")[1]), F.lit(s[n]).cast("bigint"))))[F.col("_folder")]
-        return df.withColumns({"segment_id": numbers("id"), "lsn": numbers("lsn")}).drop("_folder")
+        return df.withColumns({"segment_id": numbers("id"), "lsn": F.coalesce("lsn", numbers("lsn"))}).drop("_folder")
 
     def events(self, query: TraceQuery = TraceQuery(), version: int | None = None) -> DataFrame:
         """Live stored events with their places."""
@@ -216,15 +229,16 @@ class TraceStore:
         return TextIndex(self.spark, self.path, *((known[c] for c in ("folders", "n", "total", "whole")) if known else ()), tokenizer=tokenizer)
 
     def index_text(self, compact: bool = False, tokenizer: Callable[[Column], Column] = bigrams) -> int:
-        """Adds the segments that aren't indexed yet to the text index, without events that an indexed segment has already."""
+        """Adds the rows that aren't indexed yet to the text index, without events that an indexed row has already."""
         m = self.manifest()
-        done = m["text"]["segments"] if m["text"] else []
-        fresh = [x for x in m["segments"] if x["id"] not in done]
+        done = _indexed(m["text"], m["segments"])
+        fresh = [x for x in m["segments"] if x["lsn"] > done]
         index = self.text_index(m["version"], tokenizer)
         if fresh:
-            events = fold.dedup(self._live(m, fresh), ORDER, "global")
-            if done:
-                events = events.join(self._stored([x for x in m["segments"] if x["id"] in done]).select(*fold.EVENT), fold.EVENT, "left_anti")
+            events = fold.dedup(self._live(m, fresh).filter(F.col("lsn") > done), ORDER, "global")
+            old = [x for x in m["segments"] if _first(x) <= done]
+            if old:
+                events = events.join(self._stored(old).filter(F.col("lsn") <= done).select(*fold.EVENT), fold.EVENT, "left_anti")
             index = index.add(search.search_text(events))
         if compact and not index.whole:
             index = index.compact()
@@ -232,8 +246,7 @@ class TraceStore:
         def change(now: dict) -> dict | None:
             if now["text"] != m["text"]:
                 raise RuntimeError("another writer indexed meanwhile")
-            ids = [*done, *(x["id"] for x in fresh if x["id"] in {y["id"] for y in now["segments"]})]
-            return now | {"text": {"folders": index.folders, "n": index.n, "total": index.total, "whole": index.whole, "segments": ids}}
+            return now | {"text": {"folders": index.folders, "n": index.n, "total": index.total, "whole": index.whole, "lsn": max([done, *(x["lsn"] for x in fresh)])}}
 
         return self._commit(change)
 
@@ -300,7 +313,7 @@ class TraceStore:
             if not own or (len(own) < 2 and not m["tombstones"] and own[0]["state"] == "sealed"):
                 return m["version"]
             rows = self._live(m, own).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("row_idx", F.monotonically_increasing_id())
-            folder = self._write(rows.select(*EVENTS.names, "row_idx"), "segments")
+            folder = self._write(rows.select(*EVENTS.names, "row_idx", "lsn"), "segments")
             try:
                 return self._add_segment(folder, 1 + max(x["level"] for x in own), instead=[x["id"] for x in own], expect=m["version"])
             except InterruptedError:

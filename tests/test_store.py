@@ -120,6 +120,33 @@ def test_text_index_grows_by_segments_and_survives_compaction(spark, tmp_path):
         store.search(spark.createDataFrame([(1,)], "query_id int"))
 
 
+@pytest.mark.parametrize("flush", [1 << 40, 10])
+def test_text_index_and_replay_go_on_over_sealed_segments(spark, tmp_path, flush):
+    """The tail is sealed while part of it is indexed: no event is indexed twice, and rows keep the number of their append."""
+    store = make(spark, tmp_path, flush_rows=flush)
+    ask = spark.createDataFrame([(1, "rare words 7"), (2, "common")], "query_id int, query string")
+    parts = [range(4), range(4, 9), range(7, 14)]
+    for n, own in enumerate(parts):
+        store.append(events(spark, own, "rare" if n == 1 else "common words"))
+        store.index_text()
+    assert (len(store.manifest()["segments"]) < 3) == (flush == 10)
+    whole = TraceStore(spark, f"file://{tmp_path}/whole")
+    whole.append(events(spark, parts[0], "common words").unionByName(events(spark, parts[1], "rare")).unionByName(events(spark, range(9, 14), "common words")))
+    whole.index_text()
+    assert [store.manifest()["text"][c] for c in ("n", "total")] == [whole.manifest()["text"][c] for c in ("n", "total")]
+    rows = lambda s: [(r.query_id, r.trace_id, r.score, r.rank) for r in s.search(ask, 9).collect()]
+    assert rows(store) == rows(whole)
+    first = store.manifest(1)["segments"][0]["lsn"]
+    assert {r.lsn - first: r["count"] for r in store.replay(first).groupBy("lsn").count().collect()} == {1: 10, 2: 14}
+
+
+@pytest.mark.parametrize("name", ["event_search", "event_search_filtered", "store_replay"])
+def test_queries_of_a_store_do_not_depend_on_its_flushes(same_rows, monkeypatch, name):
+    for rows in (1, 500):
+        monkeypatch.setattr(catalog, "TraceStore", lambda spark, path, n=rows: TraceStore(spark, path, n))
+        same_rows(catalog.QUERIES[name], catalog.ORACLE[name])
+
+
 def test_vectors_of_a_store(spark, tmp_path):
     store = make(spark, tmp_path)
     store.append(events(spark, range(6)))
