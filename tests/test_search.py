@@ -12,7 +12,7 @@ from spanloom.functions import scalars
 from spanloom.functions.ids import render
 from spanloom.functions.tokenize import Dictionary, bigrams, dictionary_tokenizer
 from spanloom.functions.vectors import distance
-from spanloom.operators import nearest, search
+from spanloom.operators import nearest, search, textindex
 from spanloom.operators.textindex import TextIndex, hybrid
 from spanloom.plans import catalog
 from spanloom.sources import fixtures as fx
@@ -56,6 +56,41 @@ def test_bm25_ranks_like_an_exhaustive_search(spark, tmp_path, parts):
     assert own.search(asked, 0).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_many_texts_are_ranked_in_blocks_like_few(spark, tmp_path, monkeypatch, parts):
+    """Scores in blocks of documents, with filters, repeated texts and parts of documents, are those of the join."""
+    rows = [*texts(90), "", None, "w1", "w1 " * 500, "w1"]
+    docs = frame(spark, rows).union(frame(spark, ["w3 w4 w4"] * 12))
+    index = TextIndex(spark, f"file://{tmp_path}/index")
+    for n in range(parts):
+        index = index.add(docs.filter(F.pmod("span_id", F.lit(parts)) == n))
+    queries = [*texts(50, 5), "w1", "W1 w1", "absent", "", None, *texts(3, 5)]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    found = lambda **kw: [tuple(r) for r in index.search(asked, 7, **kw).orderBy("query_id", "rank").select("query_id", "rank", "trace_id", "span_id", "score").collect()]
+    want = {}
+    for filters in ({}, {"attrs": docs.selectExpr("trace_id", "span_id", "span_id % 3 as tenant_id"), "wanted": search.SearchFilter(tenant_id=1)}):
+        monkeypatch.setattr(textindex, "JOINED", 1 << 30)
+        joined = found(**filters)
+        assert joined and {r[0] for r in joined} >= {0, 49, 50, 55, 57}
+        for size, dense in ((20, 0.1), (1 << 30, 2.0), (7, 0.0)):
+            monkeypatch.setattr(textindex, "JOINED", 0)
+            monkeypatch.setattr(textindex, "BLOCK_DOCS", size)
+            monkeypatch.setattr(textindex, "DENSE", dense)
+            assert found(**filters) == joined
+
+
+def test_each_text_is_ranked_once(spark, tmp_path, monkeypatch):
+    index = TextIndex(spark, f"file://{tmp_path}/index").add(frame(spark, texts()), one_row_each=True)
+    seen = []
+    scores = TextIndex.scores
+    monkeypatch.setattr(TextIndex, "scores", lambda self, q: seen.append(q.count()) or scores(self, q))
+    asked = spark.createDataFrame([(i, f"w{i % 2 + 1}") for i in range(500)], "query_id int, query string")
+    x, df = vectors(spark, 50)
+    assert index.search(asked, 3).count() == 1500 and seen == [2]
+    found = hybrid(index, df, asked.withColumn("vector", F.array(*(F.lit(float(v)) for v in x[0]))), 3)
+    assert found.count() == 1500 and seen == [2, 2]
+
+
 def test_rows_of_one_span_are_one_document(spark, tmp_path):
     rows = [(1, 1, "alpha beta"), (1, 1, "beta gamma"), (2, 1, "beta")]
     index = TextIndex(spark, f"file://{tmp_path}/index").add(spark.createDataFrame(rows, "trace_id long, span_id long, text string"))
