@@ -274,7 +274,7 @@ class TraceStore:
             raise ValueError("queries need a column query, vector, or both")
         attrs = self.attributes(version) if wanted is not None else None
         if asked == {"query"}:
-            found = search.top(search.restrict(self.text_index(version).scores(queries), attrs, wanted), k, F.desc("score"))
+            found = self.text_index(version).search(queries, k, attrs, wanted)
         elif asked == {"vector"}:
             found = vector_batch(search.restrict(self.embeddings(version), attrs, wanted), queries, k, metric)
         else:
