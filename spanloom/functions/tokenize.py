@@ -23,7 +23,8 @@ def bigrams(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(rf"^[{_HAN}]"), pairs).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, cut))
+    # Texts without a Han character, as a whole, need no look at each run.
+    return F.when(F.coalesce(text, F.lit("")).rlike(f"[{_HAN}]"), F.flatten(F.transform(runs, cut))).otherwise(runs)
 
 
 class Dictionary:

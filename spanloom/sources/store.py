@@ -240,7 +240,7 @@ class TraceStore:
             if old:
                 events = events.join(self._stored(old).filter(F.col("lsn") <= done).select(*fold.EVENT), fold.EVENT, "left_anti")
             index = index.add(search.search_text(events))
-        if compact and not index.whole:
+        if compact and (len(index.folders) > 1 or not index.whole):
             index = index.compact()
 
         def change(now: dict) -> dict | None:

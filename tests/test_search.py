@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,26 @@ def test_many_texts_are_ranked_in_blocks_like_few(spark, tmp_path, monkeypatch,
             assert found(**filters) == joined
 
 
+def test_documents_that_came_whole_need_no_grouping(spark, tmp_path):
+    docs = frame(spark, texts())
+    first = TextIndex(spark, f"file://{tmp_path}/index").add(docs.filter("span_id < 5"), one_row_each=True)
+    both = first.add(docs.filter("span_id >= 5"), one_row_each=True)
+    assert both.whole and both.compact().whole and (both.compact().n, both.compact().total) == (60, 1800)
+    assert "Aggregate" not in both.lengths()._jdf.queryExecution().toString()
+    again = first.add(docs.filter("span_id >= 4"), one_row_each=True)
+    assert not again.whole and again.n == 60 and again.compact().lengths().count() == 60
+
+
+def test_a_batch_of_any_size_is_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(textindex, "COUNTED", 5)
+    rows = [["a", "b", "a"], [], None, ["b"] * 12, ["c", "c"], ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([0] * 6), pa.array(rows, pa.list_(pa.string()))], ["trace_id", "span_id", "tokens"])
+    assert len(list(textindex._pieces([batch]))) > 2
+    got = [tuple(r.values()) for b in textindex._count([batch]) for r in b.to_pylist()]
+    want = [(w, i, 0, n, len(r)) for i, r in enumerate(rows) if r for w, n in Counter(r).items()] + [(None, i, 0, 0, len(r)) for i, r in enumerate(rows) if r]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_each_text_is_ranked_once(spark, tmp_path, monkeypatch):
     index = TextIndex(spark, f"file://{tmp_path}/index").add(frame(spark, texts()), one_row_each=True)
     seen = []
