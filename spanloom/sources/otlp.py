@@ -26,60 +26,70 @@ def _get(v: Column, *names: str) -> Column:
     return F.coalesce(*(F.try_variant_get(v, f"$.{n}", "variant") for n in names))
 
 
+def _let(value: Column, f) -> Column:
+    """A function of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _string(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return _let(v, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def _long(v: Column) -> Column:
     """A number or a numeric string; a double only if it is whole."""
-    text = F.try_variant_get(v, "$", "string")
-    whole = text.try_cast("double")
-    return F.coalesce(text.try_cast("bigint"), F.when(whole == F.floor(whole), whole.try_cast("bigint")))
+    whole = lambda t: _let(t.try_cast("double"), lambda d: F.when(d == F.floor(d), d.try_cast("bigint")))
+    return _let(F.try_variant_get(v, "$", "string"), lambda t: F.coalesce(t.try_cast("bigint"), whole(t)))
 
 
 def _array(v: Column) -> Column:
     return F.coalesce(v.try_cast("array<variant>"), F.array().cast("array<variant>"))
 
 
-def _attribute(attributes: Column, names: list[str], kind: str) -> Column:
-    """The value of the first name that has one of the kind."""
+def _attributes(v: Column) -> Column:
+    """An array of attributes as structs of key, string and long: each is read once, whatever is asked of them."""
+
+    def read(a: Column) -> Column:
+        own = lambda x: F.struct(_string(_get(a, "key")).alias("key"), _string(_get(x, "stringValue", "string_value")).alias("string"), _long(_get(x, "intValue", "int_value", "doubleValue", "double_value")).alias("long"))
+        return _let(_get(a, "value"), own)
+
+    return F.transform(_array(v), read)
 
-    def value(name: str) -> Column:
-        own = F.filter(attributes, lambda a: _string(_get(a, "key")) == name)
-        typed = F.transform(own, lambda a: _string(_get(_get(a, "value"), "stringValue", "string_value")) if kind == "string" else _long(_get(_get(a, "value"), "intValue", "int_value", "doubleValue", "double_value")))
-        return F.get(typed, 0)
 
+def _attribute(attributes: Column, names: list[str], kind: str) -> Column:
+    """The value of the first name that has one of the kind."""
+    value = lambda name: F.get(F.filter(attributes, lambda a: a["key"] == name), 0)[kind]
     return F.coalesce(*map(value, names))
 
 
 def flatten_messages(text: Column) -> Column:
     """The contents of a JSON message or array of messages, joined by line ends; another text as it is."""
-    v = F.try_parse_json(text)
-    items = F.coalesce(v.try_cast("array<variant>"), F.array(v))
 
     def contents(m: Column) -> Column:
-        c = _get(m, "content")
-        parts = F.filter(F.transform(_array(c), lambda p: _string(_get(p, "text"))), lambda x: x.isNotNull())
-        return F.when(_string(c).isNotNull(), F.array(_string(c))).otherwise(parts)
+        parts = lambda c: F.filter(F.transform(_array(c), lambda p: _string(_get(p, "text"))), lambda x: x.isNotNull())
+        return _let(_get(m, "content"), lambda c: _let(_string(c), lambda s: F.when(s.isNotNull(), F.array(s)).otherwise(parts(c))))
+
+    def joined(t: Column) -> Column:
+        found = _let(F.try_parse_json(t), lambda v: F.flatten(F.transform(F.coalesce(v.try_cast("array<variant>"), F.array(v)), contents)))
+        return _let(found, lambda x: F.when(F.coalesce(F.size(x), F.lit(0)) > 0, F.array_join(x, "\n")))
 
-    found = F.flatten(F.transform(items, contents))
-    joined = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.array_join(found, "\n"))
-    return F.when(text.rlike(r"^\s*[\[{]"), F.coalesce(joined, text)).otherwise(text)
+    return _let(text, lambda t: F.when(t.rlike(r"^\s*[\[{]"), F.coalesce(joined(t), t)).otherwise(t))
+
+
+def _events(v: Column) -> Column:
+    """Span events as structs of the name in lower case and the text."""
+    body = lambda e: _let(_attributes(_get(e, "attributes")), lambda a: _attribute(a, BODIES, "string"))
+    return F.transform(_array(v), lambda e: F.struct(F.lower(F.coalesce(_string(_get(e, "name")), F.lit(""))).alias("name"), body(e).alias("body")))
 
 
 def _from_events(events: Column, wanted: str, unless: str | None) -> Column:
     """Texts of span events whose name says that they are output, or input."""
 
-    def body(e: Column) -> Column:
-        return _attribute(_array(_get(e, "attributes")), BODIES, "string")
-
     def matches(e: Column) -> Column:
-        name = F.lower(F.coalesce(_string(_get(e, "name")), F.lit("")))
-        ok = name.rlike(wanted) & body(e).isNotNull()
-        return ok & ~name.rlike(unless) if unless else ok
+        ok = e["name"].rlike(wanted) & e["body"].isNotNull()
+        return ok & ~e["name"].rlike(unless) if unless else ok
 
-    found = F.transform(F.filter(events, matches), lambda e: flatten_messages(body(e)))
-    return F.when(F.size(found) > 0, F.array_join(found, "\n"))
+    found = F.transform(F.filter(events, matches), lambda e: flatten_messages(e["body"]))
+    return _let(found, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
 
 
 def session_number(text: Column) -> Column:
@@ -92,21 +102,26 @@ def parse_otlp(bodies: DataFrame, body: str = "body", tenant_id: int | None = No
     """The events of each row's export. A body without resourceSpans, or a span without ids, is bad as a whole: ``strict``
     raises, else the body gives no events. Names are in camel or snake case. Columns besides the body come along."""
     rest = [c for c in bodies.columns if c != body]
-    root = bodies.withColumn("_v", F.try_parse_json(F.col(body))).withColumn("_r", _get(F.col("_v"), "resourceSpans", "resource_spans"))
-    spans = F.flatten(F.transform(_array(F.col("_r")), lambda r: F.flatten(F.transform(_array(_get(r, "scopeSpans", "scope_spans")), lambda s: _array(_get(s, "spans"))))))
-    root = root.withColumn("_spans", spans)
+    # Each step comes out of a generator, so that all that follows shares one evaluation.
+    once = lambda df, value, name: df.select(*rest, *(c for c in ("_r",) if c in df.columns and c != name), F.explode(F.array(value)).alias(name))
+    parsed = once(bodies, F.try_parse_json(F.col(body)), "_v")
+    root = once(parsed, _get(F.col("_v"), "resourceSpans", "resource_spans"), "_r")
+    root = once(root, F.flatten(F.transform(_array(F.col("_r")), lambda r: F.flatten(F.transform(_array(_get(r, "scopeSpans", "scope_spans")), lambda s: _array(_get(s, "spans")))))), "_spans")
     named = lambda s: _string(_get(s, "traceId", "trace_id")).isNotNull() & _string(_get(s, "spanId", "span_id")).isNotNull()
     good = F.coalesce(F.col("_r").isNotNull() & F.forall("_spans", lambda s: F.coalesce(named(s), F.lit(False))), F.lit(False))
     if strict:
         good = F.when(good, True).otherwise(F.raise_error(F.lit("an OTLP body without resourceSpans or with a span without ids")).cast("boolean"))
     rows = root.filter(good).select(*rest, F.explode("_spans").alias("_s"))
     s = F.col("_s")
-    parts = rows.select(
-        *rest,
-        _string(_get(s, "traceId", "trace_id")).alias("_trace"), _string(_get(s, "spanId", "span_id")).alias("_span"), F.coalesce(_string(_get(s, "parentSpanId", "parent_span_id")), F.lit("")).alias("_parent"),
-        F.coalesce(_string(_get(s, "name")), F.lit("")).alias("_name"), F.coalesce(_long(_get(s, "startTimeUnixNano", "start_time_unix_nano")), F.lit(0)).alias("_t0"), _long(_get(s, "endTimeUnixNano", "end_time_unix_nano")).alias("_t1"),
-        _long(_get(_get(s, "status"), "code")).alias("_code"), _array(_get(s, "attributes")).alias("_a"), _array(_get(s, "events")).alias("_ev"),
-    )
+    parts = once(
+        rows,
+        F.struct(
+            _string(_get(s, "traceId", "trace_id")).alias("_trace"), _string(_get(s, "spanId", "span_id")).alias("_span"), F.coalesce(_string(_get(s, "parentSpanId", "parent_span_id")), F.lit("")).alias("_parent"),
+            F.coalesce(_string(_get(s, "name")), F.lit("")).alias("_name"), F.coalesce(_long(_get(s, "startTimeUnixNano", "start_time_unix_nano")), F.lit(0)).alias("_t0"), _long(_get(s, "endTimeUnixNano", "end_time_unix_nano")).alias("_t1"),
+            _long(_get(_get(s, "status"), "code")).alias("_code"), _attributes(_get(s, "attributes")).alias("_a"), _events(_get(s, "events")).alias("_ev"),
+        ),
+        "_p",
+    ).select(*rest, "_p.*")
     a = F.col("_a")
     texts = {c: F.coalesce(flatten_messages(_attribute(a, ALIASES[c], "string")), _from_events(F.col("_ev"), *how)) for c, how in (("output_text", ("completion|assistant|choice", None)), ("input_text", ("prompt|user|system|message", "completion|assistant|choice")))}
     both = {

@@ -169,3 +169,16 @@ def test_wire_round_trip_keeps_odd_values(spark):
     ev = spark.createDataFrame([(1, -1, 2, 3, 2, 'q"\\ü', None, None, ["", "b"], 0)], EVENTS).drop("src_row")
     back = wire.parse_wire(wire.to_wire(ev)).first()
     assert (back.trace_id, back.span_id, back.ext_span_id, back.status, back.logs) == (1, -1, 'q"\\ü', None, ["", "b"])
+
+
+def test_otlp_attributes_are_read_once(spark):
+    """The plan looks at an attribute a fixed number of times, not once for every value and name that it may carry."""
+    from spanloom.sources.otlp import parse_otlp
+
+    own = lambda k, v: {"key": k, "value": v}
+    span = {"traceId": "1", "spanId": "2", "name": "n", "attributes": [own("llm.model_name", {"stringValue": 5}), own("gen_ai.response.model", {"string_value": "m"}), own("gen_ai.response.model", {"stringValue": "second"}), own(7, {"stringValue": "x"}), own("llm.token_count.prompt", {"doubleValue": 3.0})]}
+    df = parse_otlp(spark.createDataFrame([(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}),)], "body string"))
+    assert [(r.model, r.input_tokens, r.logs) for r in df.orderBy("seq").collect()] == [("m", 3, ["n"]), (None, None, [])]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    print(plan.count("variant_get("))
+    assert plan.count("variant_get(") < 100
