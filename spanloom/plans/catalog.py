@@ -532,7 +532,9 @@ def streamed_sessions(spark, d):
     _events(spark, d).drop("src_row").repartition(4).write.parquet(f"{folder}/in")
     totals = ingest.session_totals(ingest.event_stream(spark, f"{folder}/in", 1), "1000 days")
     view = ingest.SessionView(spark, f"{folder}/view")
-    totals.writeStream.outputMode("update").foreachBatch(view.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with ingest.state_on_disk(spark):
+        started = totals.writeStream.outputMode("update").foreachBatch(view.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
     return view.read()
 
 

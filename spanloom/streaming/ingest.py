@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.ids import event_id
+from spanloom.operators.fold import EVENT
 from spanloom.sources.files import Files
 from spanloom.sources.otlp import parse_otlp
 from spanloom.sources.schema import EVENTS
@@ -45,15 +47,18 @@ def run(stream: DataFrame, store: TraceStore, checkpoint: str, name: str = "inge
 
 
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events without retransmissions that come within ``delay``; state older than that goes. Reads still remove the rest."""
+    """Events without retransmissions that come within ``delay``; state older than that goes. Reads still remove the rest.
+
+    The state holds the columns of an event's identity themselves; their hash, byte by byte, isn't needed for it.
+    """
     timed = events.withColumn("event_time", F.timestamp_micros((F.col("ts") / 1000).cast("bigint")))
-    keyed = timed.withColumn("event_id", event_id(F.col("ext_span_id"), F.col("seq"), F.col("event_type")))
-    return keyed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(EVENT)
 
 
 def session_totals(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Running tokens, events and failures of each session: the incremental session view, as built-in aggregation state."""
-    own = deduplicated(events, delay).filter(F.col("session_id").isNotNull())
+    needed = events.select("ts", *EVENT, "session_id", "input_tokens", "output_tokens", "status")
+    own = deduplicated(needed, delay).filter(F.col("session_id").isNotNull())
     return own.groupBy("session_id").agg(F.count("*").alias("events"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.count_if(F.coalesce(F.col("status"), F.lit(0)) != 0).alias("errors"))
 
 
@@ -62,6 +67,20 @@ def activity(events: DataFrame, width: str = "5 minutes", delay: str = "1 hour")
     return deduplicated(events, delay).groupBy(F.window("event_time", width)).agg(F.count("*").alias("events"), F.count_if(F.coalesce(F.col("status"), F.lit(0)) != 0).alias("errors"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "events", "errors", "input_tokens")
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams that start within keep their state in RocksDB: an executor's heap holds none of it. The session's own settings return."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class SessionView:
     """Session totals kept beside a stream in update mode: a micro-batch's changed rows replace the old ones.
 

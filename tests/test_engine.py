@@ -182,3 +182,16 @@ def test_otlp_attributes_are_read_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     print(plan.count("variant_get("))
     assert plan.count("variant_get(") < 100
+
+
+def test_a_stream_knows_events_by_their_columns(spark, tmp_path):
+    """No hash of each event, and the session's settings as they were."""
+    from spanloom.streaming import ingest
+
+    plan = ingest.session_totals(ingest.event_stream(spark, str(tmp_path)))._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark [ext_span_id" in plan and "aggregate(" not in plan
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with ingest.state_on_disk(spark):
+        assert "RocksDB" in spark.conf.get(name)
+    assert spark.conf.get(name) == before
