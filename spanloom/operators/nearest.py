@@ -1,7 +1,8 @@
 """Nearest vectors for tables of queries: exact, or among the nearest lists of an inverted file.
 
-Queries and vectors are packed into blocks of up to ``BLOCK`` of one length. Each pair of blocks is one matrix product; a task
-keeps the best of every query over all the blocks it sees and passes ``k`` rows a query on.
+Queries and vectors are packed into blocks of up to ``BLOCK`` of one length. Each pair of blocks is a few matrix products; a task
+keeps the best of every query over all the blocks it sees and passes ``k`` rows a query on. What is further than the best that a
+query has already isn't looked at again.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from spanloom.sources.files import Files, written
 
 BLOCK = 2048
 #: Candidates that a task holds before it passes them on.
-HELD = 2_000_000
+HELD = 500_000
+#: Queries of one product, and least distances that a task remembers of the queries it has seen.
+ROWS, KNOWN = 512, 8_000_000
 #: Blocks of queries up to this size go to every executor; larger ones meet the vectors without a broadcast.
 SENT_BYTES = 64 << 20
 _BLOCKS = "list int, dim int, n int, a binary, b binary, data binary"
@@ -77,26 +80,73 @@ def _scan(k: int, metric: str):
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(trace.view(np.int64)), pa.array(span.view(np.int64)), pa.array(d)], ["query_id", "trace_id", "span_id", "distance"])
 
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            for dim, ids, asked, a, c, data in zip(*(b.column(n).to_pylist() for n in ("dim", "q_a", "q_data", "a", "b", "data"))):
-                x, q = np.frombuffer(data, np.float32).reshape(-1, dim), np.frombuffer(asked, np.float32).reshape(-1, dim)
-                d = np.round(batch_distance(q, x, metric), DIGITS)
-                most = min(k, d.shape[1])
-                row, column = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most])
-                held.append((np.frombuffer(ids, np.int64)[row], d[row, column], np.frombuffer(a, np.uint64)[column], np.frombuffer(c, np.uint64)[column]))
+        held, size, known = [], 0, {}
+        for dim, ids, asked, a, c, data in _one_by_one(batches):
+            x, q = np.frombuffer(data, np.float32).reshape(-1, dim).astype(float), np.frombuffer(asked, np.float32).reshape(-1, dim).astype(float)
+            if ids not in known:
+                if len(known) * BLOCK * k > KNOWN:
+                    known.clear()
+                known[ids] = np.full((len(q), k), np.inf)
+            for i in range(0, len(q), ROWS):
+                row, column, d = _closer(q[i : i + ROWS], x, known[ids][i : i + ROWS], metric)
+                held.append((np.frombuffer(ids, np.int64)[i + row], d, np.frombuffer(a, np.uint64)[column], np.frombuffer(c, np.uint64)[column]))
                 size += len(row)
-                if size > HELD:
-                    held = [best(held)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield from rows(held)
-                        held, size = [], 0
+            if size > HELD:
+                held = [best(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from rows(held)
+                    held, size = [], 0
         yield from rows(held)
 
     return run
 
 
+def _one_by_one(batches):
+    """The rows of batches, one at a time: a batch's blocks are never all copied."""
+    for b in batches:
+        columns = [b.column(n) for n in ("dim", "q_a", "q_data", "a", "b", "data")]
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
+
+
+def _closer(q: np.ndarray, x: np.ndarray, known: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and rounded distance of what may be among the first of each query, whose ``known`` least distances are kept up.
+
+    One product finds them, with room for its error and for rounding; their distances are then computed by themselves.
+    """
+    if metric == "cosine":
+        q, x = (y / np.where((n := np.linalg.norm(y, axis=1, keepdims=True)) > 0, n, 1) for y in (q, x))
+    k = known.shape[1]
+    near = q @ x.T
+    qq, xx = (q**2).sum(1)[:, None], (x**2).sum(1)
+    if metric == "ip":
+        np.negative(near, out=near)
+    else:
+        near *= -2
+        near += qq
+        near += xx
+    most = known.max(1, keepdims=True)
+    unit, error = 2 * 10.0**-DIGITS, 1e-12 * (qq + xx.max(initial=0))
+    least = most + unit + error if metric == "ip" else (most + unit) ** 2 + error
+    if np.isinf(most).any():
+        kth = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1 :][:, :1]
+        own = kth + unit + 2 * error if metric == "ip" else (np.sqrt(np.maximum(kth + error, 0)) + unit) ** 2 + error
+        least = np.minimum(least, own)
+    row, column = np.nonzero(near <= least)
+    d = -(q[row] * x[column]).sum(1) if metric == "ip" else np.sqrt(((q[row] - x[column]) ** 2).sum(1))
+    d = np.round(d, DIGITS)
+    order = np.lexsort((d, row))
+    own = row[order]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    some = rank < k
+    fresh = np.full(known.shape, np.inf)
+    fresh[own[some], rank[some]] = d[order][some]
+    known[:] = np.partition(np.concatenate((known, fresh), axis=1), k - 1, axis=1)[:, :k]
+    keep = d <= known.max(1)[row]
+    return row[keep], column[keep], d[keep]
+
+
 def _meet(vectors: DataFrame, queries: DataFrame, k: int, metric: str, by_list: bool) -> DataFrame:
     """Blocks of vectors with blocks of queries, of the same list if there are lists."""
     if not k:

@@ -168,6 +168,23 @@ def test_blocks_find_what_columns_find(spark, monkeypatch, metric):
             assert all(abs(a - b) < 2e-6 for a, b in zip(sorted(g[3] for g in got[i]), sorted(r.distance for r in want)))
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_later_blocks_pass_on_only_what_is_closer(metric):
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(9, 8)), rng.normal(size=(4000, 8)).round(1)
+    x[2000:2020] = x[:20]
+    known, found = np.full((9, 5), np.inf), []
+    for i in range(0, 4000, 200):
+        row, column, d = nearest._closer(q, x[i : i + 200], known, metric)
+        found += zip(row.tolist(), d.tolist(), (i + column).tolist())
+    assert len(found) < 9 * 5 * 20 / 2
+    every = np.round(nearest.batch_distance(q, x, metric), 6)
+    for i in range(9):
+        want = sorted(zip(every[i].tolist(), range(4000)))[:5]
+        got = sorted((d, c) for r, d, c in found if r == i)[:5]
+        assert [c for _, c in got] == [c for _, c in want] and np.allclose([d for d, _ in got], [d for d, _ in want], atol=2e-6)
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_recall_of_the_inverted_file(spark, tmp_path, metric):
     x, df = vectors(spark, 3000, clusters=40)
